@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from . import urls
+from .chat import op7_chat_windows
 from .media import op5_telephony_audio
 from .quality import op3_quality_classifier
+from .urls import op6_url_filter_cascade
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op5_telephony_audio)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_quality_classifier, op5_telephony_audio, op6_url_filter_cascade, op7_chat_windows)}
+ORACLES: dict[str, str] = {"op6_url_filter_cascade": urls.ORACLE}
