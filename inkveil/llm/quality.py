@@ -2,7 +2,7 @@
 
 Trees are trained on the driver from a bounded sample of labelled rows and flattened into arrays; scoring walks
 all trees of a batch with numpy. Edge cases: null or empty text has the statistics of an empty document and is
-scored like any other; null doc_id is never held out and never a training row; labels that are null are ignored
+scored like any other; a null doc_id counts as held out; labels that are null are ignored
 and repeated labels are averaged; with no usable label every score is 0.5, with one class only its share; an
 empty table gives an empty result; further columns of the input are kept by filter_quality and ignored elsewhere.
 """

@@ -21,7 +21,8 @@ def test_held_out_accuracy_and_edge_rows(spark, docs_dir):
     assert len(got) == len(rows)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
-    held = [r for r in got if r.held_out and r.doc_id < 300]
+    assert next(r for r in got if r.doc_id is None).held_out
+    held = [r for r in got if r.held_out and (r.doc_id or 1000) < 300]
     assert np.mean([r.predicted == int(r.doc_id % 3 > 0) for r in held]) > 0.95
 
 
