@@ -5,10 +5,11 @@ from __future__ import annotations
 from . import urls
 from .chat import op7_chat_windows
 from .media import op5_telephony_audio
+from .minhash import op1_minhash_components
 from .mixing import op10_source_mixing
 from .quality import op3_quality_classifier
 from .secrets import op4_secret_ledger
 from .urls import op6_url_filter_cascade
 
-QUERIES = {f.__name__: f for f in (op3_quality_classifier, op4_secret_ledger, op5_telephony_audio, op6_url_filter_cascade, op7_chat_windows, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_components, op3_quality_classifier, op4_secret_ledger, op5_telephony_audio, op6_url_filter_cascade, op7_chat_windows, op10_source_mixing)}
 ORACLES: dict[str, str] = {"op6_url_filter_cascade": urls.ORACLE}
