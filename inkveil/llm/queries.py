@@ -10,6 +10,7 @@ from .mixing import op10_source_mixing
 from .quality import op3_quality_classifier
 from .secrets import op4_secret_ledger
 from .urls import op6_url_filter_cascade
+from .winnow import op2_winnowing_fingerprints
 
-QUERIES = {f.__name__: f for f in (op1_minhash_components, op3_quality_classifier, op4_secret_ledger, op5_telephony_audio, op6_url_filter_cascade, op7_chat_windows, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_components, op2_winnowing_fingerprints, op3_quality_classifier, op4_secret_ledger, op5_telephony_audio, op6_url_filter_cascade, op7_chat_windows, op10_source_mixing)}
 ORACLES: dict[str, str] = {"op6_url_filter_cascade": urls.ORACLE}
