@@ -243,9 +243,9 @@ def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.select("class", "text").dropDuplicates(["class"])
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """docs with one row of each component, that of the least doc_id; rows without shingles all stay. Columns unchanged."""
-    g = group(docs)
+    g = group(docs, k)
     rows = g.groupBy("doc_id", "content").agg(F.count("*").alias("times"), F.first("component").alias("component"))
     rank = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "content")
     best = rows.where("component is not null").groupBy("component").agg(F.min(rank).alias("best"))

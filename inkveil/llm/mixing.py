@@ -149,3 +149,19 @@ def brute_targets(by_source: dict) -> dict:
         if not over:
             return {s: share.get(s, REPEATS * by_source[s]) for s in order}
         limited |= over
+
+
+def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """docs as the mix takes them: a row for each whole time that a document is taken, and one for a rest of half a document or more.
+
+    Rows that the mix doesn't take go; rows without words, which take no part in it, stay once. Columns unchanged.
+    """
+    t = taken(docs, block).where("size > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    # rows alike in these share what they take
+    t = t.select(F.col("doc_id").alias("d2"), F.col("source").alias("s2"), F.col("size").alias("z2"), F.floor((2 * F.col("taken") / F.col("rows") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("times"))
+    t = materialize(t)
+    keyed = docs.withColumn("z1_", size_of(F.col("text")))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("d2")) & F.col("source").cast("string").eqNullSafe(F.col("s2")) & (F.col("z1_") == F.col("z2"))
+    joined = keyed.join(t, same, "left")
+    times = F.when(F.col("z1_") == 0, 1).otherwise(F.coalesce("times", F.lit(0)))
+    return joined.where(times > 0).withColumn("copy_", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
