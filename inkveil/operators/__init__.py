@@ -1 +1 @@
-
+"""Detection, masking, verification, findings, geometry and evaluation."""

@@ -1 +1 @@
-
+"""Whole runs and the query registry."""

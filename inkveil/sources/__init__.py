@@ -1 +1 @@
-
+"""Pages, files and JSON in and out."""
