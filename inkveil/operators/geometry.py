@@ -10,6 +10,7 @@ import bisect
 import math
 from collections import deque
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,8 +186,6 @@ def union(native: list[dict], recognised: list[dict]) -> list[dict]:
 
 def with_spaced_text(pages: DataFrame, name: str = "spaced") -> DataFrame:
     """pages with the spaced text; null spans count as none."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(spans: pd.Series) -> pd.Series:
         return pd.Series([spaced([] if s is None else list(s))[0] for s in spans])
@@ -196,8 +195,6 @@ def with_spaced_text(pages: DataFrame, name: str = "spaced") -> DataFrame:
 
 def map_matches(pages: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_index"), matches: str = "matches") -> DataFrame:
     """A row for each region, and for each match that lies nowhere (rects empty, unmapped true)."""
-    import pandas as pd
-
     found = f"array<struct<text:string,category:string,confidence:float,detector_id:string,source:string,start:int,rects:array<{RECT}>,unmapped:boolean>>"
 
     @F.pandas_udf(found)
@@ -214,8 +211,6 @@ def map_matches(pages: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_index
 
 def union_regions(native: DataFrame, recognised: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Regions of both layers, united page by page."""
-    import pandas as pd
-
     key_types = [f"{f.name} {f.dataType.simpleString()}" for f in native.schema if f.name in keys]
     fields = [x.strip().split(" ")[0] for x in REGION.replace(f"array<{RECT}>", "r").split(",")]
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +70,6 @@ def read_certificates(spark: SparkSession, path: str) -> DataFrame:
 
 def check_files(files_: DataFrame, secrets: DataFrame) -> DataFrame:
     """path, checks of raw files against secrets (path, secret), in Arrow batches; the byte scan has no column form."""
-    import pandas as pd
-
     @F.pandas_udf("array<struct<id:string,passed:boolean,detail:string>>")
     def run(content: pd.Series, needles: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("id", "passed", "detail"), c, strict=True)) for c in check_pdf(b, [s.encode() for s in n])] for b, n in zip(content, needles, strict=True)])
