@@ -6,6 +6,7 @@ empty and has no matches. Offsets are UTF-8 bytes (start, end) and code points (
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass, field
 
@@ -18,8 +19,7 @@ from ..functions.catalog import GROUPS, PATTERNS, Pattern
 from ..functions.text import ascii_lower, let
 
 MATCH = "struct<start:int,end:int,char_start:int,char_end:int,text:string,category:string,confidence:float,detector_id:string,source:string>"
-_CANDIDATE = "array<struct<chars:int,bytes:int,raw:string>>"
-_NUMBERED = "array<struct<pattern:int,chars:int,bytes:int,raw:string>>"
+_CANDIDATE = "array<struct<pattern:int,chars:int,bytes:int,raw:string>>"
 #: Bytes on either side of a match in which keywords count.
 MARGIN = 40
 BOOST, CAP, AGGRESSIVE_BOOST, AGGRESSIVE_DROP = 0.2, 0.99, 0.08, 0.12
@@ -57,23 +57,27 @@ def _single(x: float) -> Column:
     return F.lit(float(np.float32(x))).cast("float")
 
 
-def candidates(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with their offsets: matches alternate with the pieces between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, raw: F.struct(gap.alias("gap"), raw.alias("raw")))
-    start = F.expr(f"named_struct('chars', 0, 'bytes', 0, 'out', cast(array() as {_CANDIDATE}))")
-    return F.aggregate(
-        pieces,
-        start,
-        lambda a, x: F.struct(
-            (a.chars + F.length(x.gap) + F.length(x.raw)).alias("chars"),
-            (a.bytes + F.octet_length(x.gap) + F.octet_length(x.raw)).alias("bytes"),
-            F.concat(a.out, F.array(F.struct((a.chars + F.length(x.gap)).alias("chars"), (a.bytes + F.octet_length(x.gap)).alias("bytes"), x.raw.alias("raw")))).alias("out"),
-        ),
-        lambda a: a.out,
+def _found(text: str, pattern: str, number: int) -> str:
+    """SQL: leftmost non-overlapping matches of a pattern in a column, with their offsets and the pattern's number.
+
+    Matches alternate with the pieces between them; the last piece has no match after it.
+    """
+    if "'" in pattern:
+        raise ValueError("patterns hold no quotes")
+    grown = "a.chars + length(x.gap)", "a.bytes + octet_length(x.gap)"
+    return (
+        f"aggregate(zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (g, m) -> named_struct('gap', g, 'raw', m)), "
+        f"named_struct('chars', 0, 'bytes', 0, 'out', cast(array() as {_CANDIDATE})), "
+        f"(a, x) -> if(x.raw is null, a, named_struct('chars', {grown[0]} + length(x.raw), 'bytes', {grown[1]} + octet_length(x.raw), "
+        f"'out', concat(a.out, array(named_struct('pattern', {number}, 'chars', {grown[0]}, 'bytes', {grown[1]}, 'raw', x.raw))))), a -> a.out)"
     )
 
 
+def candidates(text: str, pattern: str) -> Column:
+    """array of struct(pattern, chars, bytes, raw): the matches of a pattern in the named column; null text has none."""
+    return F.expr(_found(f"coalesce(`{text}`, '')", pattern, 0))
+
+
 def context(text: Column, chars: Column, raw: Column) -> Column:
     """The words within MARGIN bytes of a match and in it, in lower case, each between single spaces.
 
@@ -91,17 +95,14 @@ def _keyword_pattern(keywords: tuple[str, ...]) -> str:
     return f" (?:{'|'.join(spaced)}) "
 
 
-def _all_candidates(text: Column, patterns: list[Pattern]) -> Column:
-    """Candidates of all patterns, with the pattern's place; texts without what a pattern needs are not searched for it."""
-    none = F.array().cast(_NUMBERED)
-
-    def of_one(i: int, p: Pattern) -> Column:
-        regex = ("(?iU)" if p.case_blind else "(?U)") + p.regex
-        here = F.transform(candidates(text, regex), lambda c: F.struct(F.lit(i).alias("pattern"), c.chars.alias("chars"), c.bytes.alias("bytes"), c.raw.alias("raw")))
-        return F.when(text.rlike(p.needs), here).otherwise(none) if p.needs else here
-
-    found = [of_one(i, p) for i, p in enumerate(patterns)]
-    return F.concat(*found) if found else none
+def _all_candidates(text: str, patterns: list[Pattern]) -> Column:
+    """Candidates of all patterns; texts without what a pattern needs are not searched for it."""
+    whole, none = f"coalesce(`{text}`, '')", f"cast(array() as {_CANDIDATE})"
+    found = []
+    for i, p in enumerate(patterns):
+        here = _found(whole, ("(?iU)" if p.case_blind else "(?U)") + p.regex, i)
+        found.append(f"if({whole} rlike r'{p.needs}', {here}, {none})" if p.needs else here)
+    return F.expr(f"concat({', '.join(found)})" if found else none)
 
 
 def _choose(c: Column, patterns: list[Pattern], name: str, makers: dict, otherwise: Column) -> Column:
@@ -204,21 +205,28 @@ def with_matches(pages: DataFrame, opts: DetectOptions | None = None, text: str
 
     Each step is a projection of its own over the small array of the step before.
     """
-    opts = opts or DetectOptions()
+    out, step = pages, f"{name}_step_"
+    for column in _steps(opts or DetectOptions(), text, step, id(pages.sparkSession.sparkContext)):
+        out = out.withColumn(step, column)
+    return out.withColumn(name, F.col(step)).drop(step)
+
+
+@functools.lru_cache(maxsize=64)
+def _steps(opts: DetectOptions, text: str, step: str, context: int) -> tuple[Column, ...]:
+    """The steps' columns. They are many expressions, so they are built once in a Spark context for the same options."""
     patterns, valid = opts.wanted(), validators.by_name(opts.as_of_year)
-    whole, step = F.coalesce(F.col(text), F.lit("")), f"{name}_step_"
+    if not patterns:
+        return (F.array().cast(f"array<{MATCH}>"),)
     makers = {k: (lambda c, v=v: v(c.made.text)) for k, v in valid.items()}
     ok = lambda c: c.made.text.isNotNull() & _choose(c, patterns, "valid", makers, F.lit(True))
-    out = pages.withColumn(step, _all_candidates(whole, patterns))
-    if patterns:
-        out = out.withColumn(step, F.transform(step, _cleaned(patterns)))
-        out = out.withColumn(step, F.filter(step, ok))
-        scored = F.filter(F.transform(step, _scored(whole, patterns, opts)), lambda m: m.confidence >= _single(opts.floor))
-        out = out.withColumn(step, scored.cast(f"array<{MATCH}>"))
-        out = out.withColumn(name, F.when(F.size(step) > 1, resolve(F.col(step))).otherwise(F.col(step)))
-    else:
-        out = out.withColumn(name, F.array().cast(f"array<{MATCH}>"))
-    return out.drop(step)
+    scored = F.transform(step, _scored(F.coalesce(F.col(text), F.lit("")), patterns, opts))
+    return (
+        _all_candidates(text, patterns),
+        F.transform(step, _cleaned(patterns)),
+        F.filter(step, ok),
+        F.filter(scored, lambda m: m.confidence >= _single(opts.floor)).cast(f"array<{MATCH}>"),
+        F.when(F.size(step) > 1, resolve(F.col(step))).otherwise(F.col(step)),
+    )
 
 
 def detect(pages: DataFrame, opts: DetectOptions | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

@@ -270,7 +270,7 @@ def mask_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     # places by the pieces between them: a needle that can't overlap itself needs no search at each character
     from ..operators.detect import candidates
 
-    d = d.withColumn("c", candidates(F.col("text"), "the"))
+    d = d.withColumn("c", candidates("text", "the"))
     d = d.withColumn("spans", F.transform("c", lambda x: F.struct(x.chars.alias("char_start"), (x.chars + 3).alias("char_end"))))
     return d.select("doc_id", F.sha2(mask.masked(F.col("text"), F.col("spans")), 256).alias("masked_sha256"), F.size("spans").alias("n"))
 
