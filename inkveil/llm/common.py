@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,13 +84,22 @@ def _clean() -> None:
             pass
 
 
-def slices(texts: list, size: int = 4_000_000):
-    """Ranges (start, stop) of consecutive texts with about size characters together, one text at least."""
+def slices(column: pa.Array, size: int = 2_000_000):
+    """(start, stop, texts) for consecutive rows with about size bytes of text together, one row at least.
+
+    Only a slice's texts become Python strings at a time, whatever the size of the batch.
+    """
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t) if t else 0
+    for i, n in enumerate(lengths.tolist()):
+        total += n
         if total >= size:
-            yield start, i + 1
+            yield start, i + 1, column.slice(start, i + 1 - start).to_pylist()
             start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths), column.slice(start).to_pylist()
+
+
+def release() -> None:
+    """Give back what Arrow keeps for later, when a task's last batch is done: workers outlive tasks."""
+    pa.default_memory_pool().release_unused()

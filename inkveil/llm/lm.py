@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _made, discard, fold, materialize, scratch_root, slices, table
+from .common import _made, discard, fold, materialize, release, scratch_root, slices, table
 
 FOLDS = 10
 ADDED = 0.1
@@ -246,10 +246,11 @@ def _count_words(docs: DataFrame) -> DataFrame:
             for t in batch.column(0):
                 seen.update(tokens(t.as_py()))
                 ends += 1
-                if len(seen) > 400_000:
+                if len(seen) > 250_000:
                     yield flush()
                     seen.clear()
         yield flush()
+        release()
         if ends:
             yield pa.RecordBatch.from_arrays([pa.array([_END], pa.int64()), pa.array([ends], pa.int64())], names=["key", "n"])
 
@@ -265,7 +266,7 @@ class _Ids:
     def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words of texts, and the number of words of each."""
         dealt = [tokens(t) for t in texts]
-        if len(self.known) > 400_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         known = self.known
         new = list({w for ws in dealt for w in ws if w not in known})
@@ -367,16 +368,16 @@ class Model:
                 return pa.RecordBatch.from_arrays([pa.array(keys[often]), pa.array(n[often], pa.int64())], names=["key", "n"])
 
             for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for a, b in slices(texts):
-                    u, v, _ = _with_ends(*ids(texts[a:b]), end, begin)
+                for _, _, texts in slices(batch.column(0)):
+                    u, v, _ = _with_ends(*ids(texts), end, begin)
                     waiting.append(u << 32 | v)
                     size += len(u)
-                    if size > 4_000_000:
+                    if size > 3_000_000:
                         yield flush()
                         waiting, size = [], 0
             if waiting:
                 yield flush()
+            release()
 
         return docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
@@ -389,9 +390,8 @@ class Model:
             words, pairs = (_mapped(*p) for p in paths)
             ids = _Ids(words)
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for a, b in slices(texts):
-                    u, v, starts = _with_ends(*ids(texts[a:b]), end, stats["words"])
+                for a, b, texts in slices(batch.column(1)):
+                    u, v, starts = _with_ends(*ids(texts), end, stats["words"])
                     unknown = stats["words"] + 1
                     u[u < 0] = unknown
                     seen = np.where(v < 0, unknown, v)
@@ -403,6 +403,7 @@ class Model:
                     full = np.where(np.isnan(stored[back_at]), back[back_at] + base, stored[back_at])
                     sums = [np.add.reduceat(x, starts) for x in (np.ones(len(v), np.int64), (count > 0)[where].astype(np.int64), base, full)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, sums)], names=["id", "n_tokens", "n_known", "base_score", "score"])
+            release()
 
         d = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
         return d.mapInArrow(run, "id bigint, n_tokens bigint, n_known bigint, base_score double, score double").withColumnRenamed("id", key)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import release, slices, table
 
 FRAME = 192
 RATE = 8000
@@ -134,10 +134,10 @@ def _level(x: np.ndarray) -> str:
     return f"{int(np.sqrt((y @ y) / len(y)))},{int(np.abs(y).max())},{int(np.count_nonzero((y[1:] < 0) != (y[:-1] < 0)))}"
 
 
-def _records(texts: list, target_rate: int):
+def _records(column: pa.Array, target_rate: int):
     """For each text: unpadded bytes, stored file, payload read back, resampled PCM, features."""
-    for a, b in slices(texts):
-        data = [(t or "").encode("utf-8", "surrogatepass") for t in texts[a:b]]
+    for _, _, texts in slices(column):
+        data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         files = [store(payload(x)) for x in data]
         read = [load(f) for f in files]
         blocks = np.concatenate([np.frombuffer(s, dtype=np.uint8) for _, _, s in read]).reshape(-1, FRAME)
@@ -163,16 +163,17 @@ def audio(docs: DataFrame, key: str = "doc_id", text: str = "text", target_rate:
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids = batch.column(0)
             at = 0
             out: list = []
-            for row in _records(texts, target_rate):
+            for row in _records(batch.column(1), target_rate):
                 out.append(row)
                 if len(out[-1][3]) > 1_000_000 or len(out) >= 256:
                     yield _batch(ids.slice(at, len(out)), out)
                     at, out = at + len(out), []
             if out:
                 yield _batch(ids.slice(at, len(out)), out)
+        release()
 
     return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

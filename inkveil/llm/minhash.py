@@ -7,8 +7,9 @@ tokens of one class are not. Long lists of common shingles are skipped that way.
 
 In a list, all members are paired with the least first; collisions over whole signatures are counted, pairs with
 MATCHES or more are confirmed on full shingle sets, and components are formed. Lists whose members lie in more than
-one component are then searched, in blocks, for pairs across components; those are confirmed in turn. Links inside a
-component don't change it, so nothing is lost, and a group of n copies costs about n pairs and not n * n.
+one component are then searched, in blocks, for pairs across components, each in the first list that it shares; pairs
+with MATCHES or more whose sketches allow the similarity are confirmed in turn. Links inside a component don't change
+it, so nothing is lost, and a group of n copies costs about n pairs and not n * n.
 
 Edge cases: null text counts as empty; texts without words have no shingles and link with nothing; texts of fewer
 words than a shingle are one shingle; repeated rows are rows of one class; a null doc_id is linked like others, and
@@ -24,13 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import discard, materialize, release, table
 from .graph import components
 
 COORDINATES, MATCHES = 32, 16
 WORDS = 4
 #: Similarity in hundredths.
 LEAST = 80
+#: Least hashes of a set by which pairs across components are screened before they are confirmed, and the standard
+#: errors that an estimate may lie below the similarity; sets of no more shingles are compared exactly.
+SKETCH, ERRORS = 256, 5
 #: Members of a list that are compared at once.
 BLOCK = 512
 #: Keys (16 bytes each) that a broadcast holds at most; beyond, the join is a shuffled one.
@@ -46,7 +50,7 @@ class _Words(dict):
     """Hashes of words; forgotten when there are many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -81,7 +85,12 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(16)).astype(np.uint32)
 
 
-_BASE = "doc_id bigint, content bigint, n_shingles bigint, class bigint, signature binary"
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The upper halves of a set's SKETCH least hashes: of a small set all, of others a uniform sample."""
+    return (s[:SKETCH] >> np.uint64(32)).astype(np.uint32)
+
+
+_BASE = "doc_id bigint, content bigint, n_shingles bigint, class bigint, signature binary, sketch binary"
 
 
 def _content(text: Column) -> Column:
@@ -92,13 +101,18 @@ def _content(text: Column) -> Column:
 def _sketch(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            n, cls, sig = [], [], []
+            n, cls, sig, least = [], [], [], []
             for t in batch.column(2):
                 s = shingles(t.as_py(), k)
                 n.append(len(s))
                 cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "content", "n_shingles", "class", "signature"])
+                least.append(sketch(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), pa.array(least, pa.binary())],
+                names=["doc_id", "content", "n_shingles", "class", "signature", "sketch"],
+            )
+        release()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _content(F.col("text")).alias("content"), F.col("text").cast("string").alias("text")).mapInArrow(run, _BASE)
 
@@ -134,54 +148,102 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                 both = len(np.intersect1d(have, other, assume_unique=True))
                 keep.append(100 * both >= LEAST * (len(have) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     p = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
     return p.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _alike(mine: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a sketch against rows of sketches (padded with _PAD): whether the similarity is possible, and known exactly.
+
+    Below the least of the sketches' ends, where they are cut, both are complete, so the share of common hashes there is
+    that of a uniform sample of the union.
+    """
+    end = np.where(sizes > SKETCH, others[:, -1], _PAD - 1)
+    if size > SKETCH:
+        end = np.minimum(end, mine[-1])
+    at = np.minimum(np.searchsorted(mine, others), len(mine) - 1)
+    inside = others <= end[:, None]
+    both = ((mine[at] == others) & inside).sum(axis=1)
+    union = np.searchsorted(mine, end, side="right") + inside.sum(axis=1) - both
+    exact = (sizes <= SKETCH) & (size <= SKETCH)
+    whole = (sizes + size) / (1 + LEAST / 100)
+    spread = np.sqrt(LEAST / 100 * (1 - LEAST / 100) / union * np.clip(1 - union / whole, 0, 1))
+    return 100 * both >= union * np.where(exact, LEAST, LEAST - 100 * ERRORS * spread - 1e-9), exact
+
+
+_PAD = 2**32
+
+
 def _across(lists: DataFrame, matches: int, block: int) -> DataFrame:
-    """Pairs of different components that share a list and `matches` places. lists: token, class, component, n, signature.
+    """Pairs of different components that share a list, `matches` places and enough of their sketches.
 
-    A list is dealt into blocks; each pair of blocks is compared apart from the others, one row of blocks at a time.
+    lists: token, posted (bits of the coordinates that a class is posted under), class, component, n, signature, sketch. A
+    list is dealt into blocks, and each pair of blocks is compared apart from the others.
     """
     sizes = lists.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("members") / block).alias("blocks"))
     dealt = lists.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component", "n", "signature")
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "posted", "class", "component", "n", "signature", "sketch")
     dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
-    def compare(rows):
-        own, cls, comp, n = (np.array([r[k] for r in rows]) for k in range(4))
-        sig = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint32).reshape(-1, COORDINATES)
+    def compare(token, rows):
+        own, posted, cls, comp, n = (np.array([r[k] for r in rows]) for k in range(5))
+        sig = np.frombuffer(b"".join(r[5] for r in rows), dtype=np.uint32).reshape(-1, COORDINATES)
+        least = [np.frombuffer(r[6], dtype=np.uint32).astype(np.int64) for r in rows]
+        padded = np.full((len(rows), min(SKETCH, max(map(len, least)))), _PAD, dtype=np.int64)
+        for i, x in enumerate(least):
+            padded[i, : len(x)] = x
+        under = (posted[:, None] >> np.arange(COORDINATES)) & 1 == 1
+        joined: dict = {}  # components that exact comparisons have linked here
+
+        def root(c):
+            while c in joined:
+                c = joined[c]
+            return c
+
         first = own == own.min()
         one_block = bool(first.all())
         right = np.arange(len(rows)) if one_block else np.flatnonzero(~first)
         for i in range(len(rows)) if one_block else np.flatnonzero(first).tolist():
             at = right[right > i] if one_block else right
             at = at[(comp[at] != comp[i]) & (100 * np.minimum(n[at], n[i]) >= LEAST * np.maximum(n[at], n[i]))]
-            if len(at):
-                at = at[(sig[at] == sig[i]).sum(axis=1) >= matches]
-                if len(at):
-                    yield np.minimum(cls[at], cls[i]), np.maximum(cls[at], cls[i])
+            if not len(at):
+                continue
+            same = sig[at] == sig[i]
+            # a pair is looked at in the first of the lists that it shares
+            here = (same.sum(axis=1) >= matches) & ((same & under[at] & under[i]).argmax(axis=1) == token >> 32)
+            at = at[here]
+            if not len(at):
+                continue
+            like, exact = _alike(least[i], n[i], padded[at], n[at])
+            for k, sure in zip(at[like].tolist(), exact[like].tolist(), strict=True):
+                a, b = root(comp[i]), root(comp[k])
+                if a != b:
+                    if sure:
+                        joined[max(a, b)] = min(a, b)
+                    yield min(cls[i], cls[k]), max(cls[i], cls[k])
 
     def run(batches):
         key, rows = None, []
 
-        def done(rows):
-            found = list(compare(rows)) if len(rows) > 1 else []
+        def done(key, rows):
+            found = list(compare(key[0], rows)) if len(rows) > 1 else []
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(int, x)), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             for k, row in zip(zip(*cols[:3], strict=True), zip(*cols[3:], strict=True), strict=True):
                 if k != key:
-                    yield from done(rows)
+                    yield from done(key, rows)
                     key, rows = k, []
                 rows.append(row)
-        yield from done(rows)
+        yield from done(key, rows)
+        release()
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def _few(df: DataFrame, n: int) -> DataFrame:
@@ -189,11 +251,11 @@ def _few(df: DataFrame, n: int) -> DataFrame:
 
 
 def group(docs: DataFrame, k: int = WORDS, block: int = BLOCK, matches: int = MATCHES) -> DataFrame:
-    """doc_id, content, n_shingles, component (a long, null without shingles), component_id, links."""
+    """doc_id, content, n_shingles, component (a long, null without shingles), component_id, confirmed_links (of its class, not all it has)."""
     base = materialize(_sketch(docs, k))
     classes = materialize(
-        base.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "content")).alias("c"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-        .select("class", F.col("c.doc_id").alias("doc_id"), F.col("c.content").alias("content"), "n_shingles", "signature")
+        base.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "content")).alias("c"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
+        .select("class", F.col("c.doc_id").alias("doc_id"), F.col("c.content").alias("content"), "n_shingles", "signature", "sketch")
     )
     tokens = _tokens(classes)
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -201,15 +263,16 @@ def group(docs: DataFrame, k: int = WORDS, block: int = BLOCK, matches: int = MA
     ordered = tokens.join(shared, "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).where(F.size("t") >= matches)
     # tokens of one class alone are the rarest, and fill the prefix first
     prefix = F.slice("t", 1, F.lit(kept - COORDINATES) + F.size("t"))
-    posts = materialize(ordered.select("class", F.explode(prefix).alias("t")).select(F.col("t.token").alias("token"), "class"))
+    posted = F.aggregate(prefix, F.lit(0).cast("bigint"), lambda a, t: a + F.pow(F.lit(2), F.floor(t.token / 2**32)).cast("bigint"))
+    posts = materialize(ordered.select("class", posted.alias("posted"), F.explode(prefix).alias("t")).select(F.col("t.token").alias("token"), "posted", "class"))
     hubs = posts.groupBy("token").agg(F.min("class").alias("a"))
     stars = posts.join(hubs, "token").where("class <> a").select("a", F.col("class").alias("b")).distinct()
     first = materialize(_count_matches(stars, classes, matches))
     texts = materialize(_texts(docs, classes, first))
     links = materialize(_confirm(first, texts, k))
     labels = materialize(components(links))
-    lists = posts.join(labels.withColumnRenamed("id", "class"), "class", "left").join(classes.select("class", F.col("n_shingles").alias("n"), "signature"), "class")
-    lists = lists.select("token", "class", F.coalesce("component", "class").alias("component"), "n", "signature")
+    lists = posts.join(labels.withColumnRenamed("id", "class"), "class", "left").join(classes.select("class", F.col("n_shingles").alias("n"), "signature", "sketch"), "class")
+    lists = lists.select("token", "posted", "class", F.coalesce("component", "class").alias("component"), "n", "signature", "sketch")
     second = materialize(_across(lists, matches, block).join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
     if not second.isEmpty():
         more_texts = materialize(_texts(docs, classes, second))
@@ -219,11 +282,11 @@ def group(docs: DataFrame, k: int = WORDS, block: int = BLOCK, matches: int = MA
     discard(texts, posts, second, first)
     degree = links.select("a", "b").unionByName(links.select("b", "a").toDF("a", "b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "class")
     of = classes.select("class", "doc_id").join(labels.withColumnRenamed("id", "class"), "class", "left").join(degree, "class", "left")
-    of = of.select("class", "doc_id", F.coalesce("component", "class").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    of = of.select("class", "doc_id", F.coalesce("component", "class").alias("component"), F.coalesce("links", F.lit(0)).alias("confirmed_links"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = of.drop("doc_id").join(least, "component")
     out = base.select("doc_id", "content", "n_shingles", "class").join(of, "class", "left")
-    return out.select("doc_id", "content", "n_shingles", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select("doc_id", "content", "n_shingles", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("confirmed_links", F.lit(0)).alias("confirmed_links"))
 
 
 def _tokens(classes: DataFrame) -> DataFrame:
@@ -265,7 +328,7 @@ def one_of_each(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
 def op1_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = group(table(spark, sf_dir, "documents"))
-    return g.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "links")
+    return g.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "confirmed_links")
 
 
 def brute(rows: list[tuple]) -> dict:
