@@ -22,8 +22,9 @@ GRAM = 5
 #: A power of two.
 WINDOW = 8
 _PLACES = 2**31 - 1
-#: Ids a bucket spans; within a bucket rows are sorted together.
-_SPAN = 256
+#: Bits of the ids of a bucket; within a bucket rows are sorted together. Null ids are in the lowest bucket.
+_SPAN = 8
+_LOWEST = -(2**63)
 
 
 def _shifted(c: str, by: int) -> Column:
@@ -71,36 +72,38 @@ def likeness(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
+def _bucket(doc_id: Column) -> Column:
+    return F.coalesce(F.shiftright(doc_id.cast("bigint"), _SPAN), F.lit(_LOWEST))
+
+
 def _next_bucket(buckets: DataFrame, levels: int = 2) -> DataFrame:
     """bucket, following: the next lower one; of the lowest, the highest. Sorted in groups, then over the groups' ends."""
-    down = F.col("bucket").desc_nulls_last()
+    down = F.col("bucket").desc()
     if not levels:
         ring = F.first("bucket").over(Window.orderBy(down).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        later = F.lead("bucket").over(Window.orderBy(down))
-        last = F.lead(F.lit(1)).over(Window.orderBy(down)).isNull()
-        return buckets.select("bucket", F.when(last, ring).otherwise(later).alias("following"))
+        return buckets.select("bucket", F.coalesce(F.lead("bucket").over(Window.orderBy(down)), ring).alias("following"))
     over = Window.partitionBy("group").orderBy(down)
-    b = buckets.withColumn("group", F.floor(F.col("bucket") / 1024))
-    b = b.select("group", "bucket", F.lead("bucket").over(over).alias("inside"), F.lead(F.lit(1)).over(over).isNull().alias("last"), F.first("bucket").over(over).alias("head"))
-    heads = b.where("last").select(F.col("group").alias("bucket"), "head")
-    order = _next_bucket(heads.select("bucket"), levels - 1).select(F.col("bucket").alias("g2"), F.col("following").alias("g3"))
-    ends = order.join(heads.select(F.col("bucket").alias("g4"), "head"), F.col("g3").eqNullSafe(F.col("g4"))).select("g2", F.col("head").alias("beyond"))
-    return b.drop("head").join(ends, b.group.eqNullSafe(ends.g2)).select("bucket", F.when(F.col("last"), F.col("beyond")).otherwise(F.col("inside")).alias("following"))
+    b = buckets.withColumn("group", F.shiftright("bucket", 10))
+    b = b.select("group", "bucket", F.lead("bucket").over(over).alias("inside"), F.first("bucket").over(over).alias("head"))
+    heads = b.where("inside is null").select(F.col("group").alias("bucket"), "head")
+    order = _next_bucket(heads.select("bucket"), levels - 1).select(F.col("bucket").alias("group"), F.col("following").alias("g3"))
+    ends = order.join(heads.select(F.col("bucket").alias("g3"), F.col("head").alias("beyond")), "g3").select("group", "beyond")
+    return b.join(ends, "group").select("bucket", F.coalesce("inside", "beyond").alias("following"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """bucket, doc_id, text, next_text, tail (the last of its bucket), beyond (the fingerprint of the next bucket's first text).
+    """bucket, place (in the bucket), doc_id, text, next_text, tail (the last of its bucket), beyond (the fingerprint of the next bucket's first text).
 
-    Rows are shuffled once, into buckets of neighbouring ids; only each bucket's first text is moved again.
+    Rows are shuffled once, into buckets of neighbouring ids; the join and the windows after it keep that partitioning, and
+    only each bucket's first text is moved again.
     """
-    d = docs.select(F.floor(F.col("doc_id") / _SPAN).cast("bigint").alias("bucket"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    d = docs.select(_bucket(F.col("doc_id")).alias("bucket"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     over = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    a = d.select("*", F.lead("text").over(over).alias("next_text"), F.row_number().over(over).alias("place"), F.lead(F.lit(1)).over(over).isNull().alias("tail"))
-    heads = add_fingerprint(a.where("place = 1").select(F.col("bucket").alias("b2"), F.col("text").alias("head_text")), "head_text", "beyond")
-    order = _next_bucket(docs.select(F.floor(F.col("doc_id") / _SPAN).cast("bigint").alias("bucket")).distinct()).select(F.col("bucket").alias("b3"), "following")
-    ends = order.join(heads, order.following.eqNullSafe(heads.b2)).select("b3", "head_text", "beyond")
-    joined = a.join(ends, a.bucket.eqNullSafe(ends.b3) & F.col("tail"), "left")
-    return joined.select("bucket", "doc_id", "text", F.when(F.col("tail"), F.col("head_text")).otherwise(F.col("next_text")).alias("next_text"), "tail", "beyond")
+    a = d.select("*", F.lead("text").over(over).alias("next_text"), F.row_number().over(over).alias("place"))
+    heads = add_fingerprint(a.where("place = 1").select(F.col("bucket").alias("following"), F.col("text").alias("head_text")), "head_text", "beyond")
+    order = _next_bucket(docs.select(_bucket(F.col("doc_id")).alias("bucket")).distinct())
+    joined = a.join(order.join(heads, "following").select("bucket", "head_text", "beyond"), "bucket")
+    return joined.select("bucket", "place", "doc_id", "text", F.coalesce("next_text", "head_text").alias("next_text"), F.col("next_text").isNull().alias("tail"), "beyond")
 
 
 def op2_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,11 +113,11 @@ def op2_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumn("edited", F.concat(F.substr("text", F.lit(1), n - third), F.substr("next_text", F.lit(1), third))).drop("next_text")
     d = add_fingerprint(add_fingerprint(d, "text", "fp"), "edited", "fe")
     d = d.select(
-        "bucket", "doc_id", "text", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "tail",
+        "bucket", "place", "doc_id", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "tail",
         written("fp").alias("fingerprint"), written("fe").alias("edited_fingerprint"), hashes("fp").alias("h"), hashes("fe").alias("he"),
         F.transform("beyond", lambda x: F.shiftright(x, 31)).alias("hb"),
     )
-    over = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
+    over = Window.partitionBy("bucket").orderBy("place")
     d = d.withColumn("hn", F.when(F.col("tail"), F.array_distinct("hb")).otherwise(F.lead("h").over(over)))
     return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("h", "he").alias("near_edited"), likeness("h", "hn").alias("near_next"))
 
