@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import release, slices, table
 
 MARK = "▁"
 #: File of the model; read by the driver, whose bytes go to the executors.
@@ -43,6 +43,13 @@ class Codec:
         self.text = {i: p for i, (p, _) in pieces.items()}
         self.score = {i: s for i, (_, s) in pieces.items()}
         self.longest = max(map(len, self.id), default=1)
+        self.unknown = min(self.score.values(), default=0.0) - 10
+        self.reversed: dict = {}
+        for i, (p, _) in pieces.items():
+            node = self.reversed
+            for ch in reversed(p):
+                node = node.setdefault(ch, {})
+            node[""] = i
         self.bytes_, self.unigram = bytes_, unigram
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id):
             raise ValueError("a piece has a mark inside, so units can't be encoded apart")
@@ -90,38 +97,49 @@ class Codec:
             offer(i, after[i])
         return [self.id.get(p, p) for p in part if p is not None]
 
-    def _compatible(self, left: int, right: int) -> bool:
+    def _compatible(self, key: int, left: int, right: int) -> bool:
         """Whether merging leaves these pieces side by side; left is -1 at the start or after a character that is no piece."""
-        key = left << 32 | right if left >= 0 else ~right
-        known = self.known.get(key)
-        if known is None:
-            if len(self.known) > 2_000_000:
-                self.known.clear()
-            known = self.known[key] = self.merged(self.text[left] + self.text[right]) == [left, right] if left >= 0 else self.merged(self.text[right]) == [right]
-        return known
-
-    def _state(self, unit: str, end: int, states: list) -> tuple[int, float]:
-        """The last piece (-1: a character that is none) and score of the first `end` characters."""
-        best, best_score = -1, -1e30
-        for start in range(max(0, end - self.longest), end):
-            i = self.id.get(unit[start:end])
-            if i is None:
-                continue
-            if self.unigram:
-                total = states[start][1] + self.score[i]
-                if total > best_score:
-                    best, best_score = i, total
-            elif self._compatible(states[start][0], i):
-                return i, 0.0
-        if best < 0:
-            best_score = states[end - 1][1] + (min(self.score.values()) - 10 if self.unigram else 0.0)
-        return best, best_score
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self.known[key] = fits = self.merged(self.text[left] + self.text[right]) == [left, right] if left >= 0 else self.merged(self.text[right]) == [right]
+        return fits
+
+    def _last_piece(self, unit: str, end: int, states: list) -> int:
+        """The piece that merging leaves last of the first `end` characters; -1 for a character that is none.
+
+        Pieces that end there are met from the shortest on, by a trie of reversed pieces; one of them is compatible.
+        """
+        node, known, at = self.reversed, self.known, end
+        while at:
+            node = node.get(unit[at - 1])
+            if node is None:
+                break
+            at -= 1
+            i = node.get("")
+            if i is not None:
+                left = states[at]
+                key = left << 32 | i if left >= 0 else ~i
+                fits = known.get(key)
+                if self._compatible(key, left, i) if fits is None else fits:
+                    return i
+        return -1
+
+    def _best_sums(self, unit: str, shared: int, sums: list, states: list) -> None:
+        """Viterbi: the last piece of the best sum of scores, and that sum, for each longer prefix."""
+        for end in range(shared + 1, len(unit) + 1):
+            best, most = -1, -1e30
+            for start in range(max(0, end - self.longest), end):
+                i = self.id.get(unit[start:end])
+                if i is not None and sums[start] + self.score[i] > most:
+                    best, most = i, sums[start] + self.score[i]
+            states.append(best)
+            sums.append(most if best >= 0 else sums[end - 1] + self.unknown)
 
     def _ids(self, unit: str, states: list) -> bytes:
         out: list[int] = []
         at = len(unit)
         while at:
-            i = states[at][0]
+            i = states[at]
             if i < 0:
                 out.extend(self.bytes_[b] for b in reversed(unit[at - 1].encode("utf-8", "surrogatepass")))
                 at -= 1
@@ -133,8 +151,7 @@ class Codec:
 
     def learn(self, units) -> None:
         """Remember the encodings of distinct units, in the order of their trie."""
-        states: list = [(-1, 0.0)]
-        last = ""
+        states, sums, last = [-1], [0.0], ""
         for unit in sorted(units):
             if not self.unigram and MARK * 2 in unit:
                 ids: list[int] = []
@@ -145,9 +162,12 @@ class Codec:
             shared, most = 0, min(len(unit), len(last))
             while shared < most and unit[shared] == last[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(unit) + 1):
-                states.append(self._state(unit, end, states))
+            del states[shared + 1 :], sums[shared + 1 :]
+            if self.unigram:
+                self._best_sums(unit, shared, sums, states)
+            else:
+                for end in range(shared + 1, len(unit) + 1):
+                    states.append(self._last_piece(unit, end, states))
             self.memory[unit] = self._ids(unit, states)
             last = unit
 
@@ -197,9 +217,8 @@ def encode(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: str =
     def run(batches):
         codec = _codec(data)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                ids = codec.encode(texts[a:b])
+            for a, b, texts in slices(batch.column(1), 1_000_000):
+                ids = codec.encode(texts)
                 offsets = np.zeros(len(ids) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
                 back = [codec.decode(x.tolist()) for x in ids]
@@ -209,10 +228,11 @@ def encode(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: str =
                         pa.array(np.diff(offsets), pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())),
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]),
-                        pa.array([x == (t or "") for x, t in zip(back, texts[a:b], strict=True)]),
+                        pa.array([x == (t or "") for x, t in zip(back, texts, strict=True)]),
                     ],
                     names=["id", "n_pieces", "ids", "decoded_sha256", "round_trip"],
                 )
+        release()
 
     d = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     return d.mapInArrow(run, "id bigint, n_pieces bigint, ids array<int>, decoded_sha256 string, round_trip boolean").withColumnRenamed("id", key)
