@@ -1,7 +1,7 @@
 """Bigram language model in an Elias-Fano trie, counted by Spark and scored from memory-mapped levels.
 
 Level 1 holds the training tokens as sorted hashes: a token's place is its id. Level 2 holds, for each id, the ids that
-followed it twice or more, sorted. Both levels are cut into shards that tasks build on their own; monotone pointers
+followed it, once or more, sorted. Both levels are cut into shards that tasks build on their own; monotone pointers
 into a shard are unary Elias-Fano bits with a rank directory, and a pair is found by searching the few successors of
 its context. Smoothed probabilities and back-off weights are quantised to a byte each.
 
@@ -351,21 +351,17 @@ class Model:
         return spark.range(1, numPartitions=1).mapInArrow(run, "id bigint").first()[0]
 
     def _count_pairs(self, docs: DataFrame) -> DataFrame:
-        """key (context << 32 | token), n of pairs seen twice or more. A pair of a word seen once is seen once, and not sent."""
+        """key (context << 32 | token), n of all pairs, added up by task before the shuffle."""
         path, shards, end, begin = self.words_path, self.words_shards, self.end, self.stats["words"]
         if begin >= 2**31:
             raise ValueError("ids take 31 bits")
 
         def run(batches):
-            words = _mapped(Words, path, shards)
-            ids, waiting, size = _Ids(words), [], 0
+            ids, waiting, size = _Ids(_mapped(Words, path, shards)), [], 0
 
             def flush():
                 keys, n = np.unique(np.concatenate(waiting), return_counts=True)
-                u, v = keys >> 32, keys & 0xFFFFFFFF
-                u[u == begin] = end
-                often = (n > 1) | ((words.counts(u) > 1) & (words.counts(v) > 1))
-                return pa.RecordBatch.from_arrays([pa.array(keys[often]), pa.array(n[often], pa.int64())], names=["key", "n"])
+                return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64())], names=["key", "n"])
 
             for batch in batches:
                 for _, _, texts in slices(batch.column(0)):
@@ -379,7 +375,7 @@ class Model:
                 yield flush()
             release()
 
-        return docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+        return docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
     def score(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """key, n_tokens, n_known, base_score, score of each row."""
@@ -425,7 +421,6 @@ def brute(rows: list[tuple]) -> dict:
     texts = {d: [*tokens(t), b"\n"] for d, t in rows}
     c = Counter(w for d, ws in texts.items() if not held[d] for w in ws)
     pair = Counter((u, v) for d, ws in texts.items() if not held[d] for u, v in zip([None, *ws], ws, strict=False))
-    pair = {k: n for k, n in pair.items() if n > 1}
     kept: dict = {}
     for (u, _), n in pair.items():
         kept[u] = kept.get(u, 0) + n - DISCOUNT

@@ -63,3 +63,13 @@ def test_words_by_shard():
 def test_size_is_checked(spark):
     with pytest.raises(ValueError):
         lm.Model(spark.createDataFrame([("a b c",)], "text string"), most_bytes=8)
+
+
+def test_bigrams_seen_once_count(spark):
+    model = lm.Model(spark.createDataFrame([("a b",), ("c d",)], "text string"))
+    r = model.score(spark.createDataFrame([(1, "a b"), (2, "a d")], "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert r[0].base_score == pytest.approx(r[1].base_score) and r[0].score > r[1].score + 0.3
+    p = lambda c: (c + lm.ADDED) / (6 + lm.ADDED * 6)
+    # begin (2) to a (1), a (1) to b (1), b (1) to the end (2): each pair is seen once
+    full = [(1 - lm.DISCOUNT) / 2 + lm.DISCOUNT * p(1), (1 - lm.DISCOUNT) + lm.DISCOUNT * p(1), (1 - lm.DISCOUNT) + lm.DISCOUNT * p(2)]
+    assert r[0].score == pytest.approx(float(np.log10(full).sum()), abs=3 * -lm.LOWEST / 255)
