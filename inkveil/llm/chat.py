@@ -1,13 +1,15 @@
 """Chat formatting: conversations cut at turns into windows of a token budget, with a loss mask.
 
-Prefix sums of turn tokens put every turn into one window, where it is new. A window holds the system turn, then
-at most `history` tokens of the turns before its first new one, then its new turns; what is repeated is masked, so
-that each assistant text is a target once. Prefix sums are taken over segments of turns first, so that a very long
-conversation isn't summed in one task; windows are built apart from each other.
+Every turn is new in one window. A window holds the system turn, then at most `history` tokens of the turns before its
+first new one, then as many new turns as fit: all of them are within the budget. What is repeated is masked, so that
+each assistant text is a target once. Prefix sums of turn tokens, taken over segments of turns first, cut a conversation
+into chunks, which are packed turn after turn, apart from each other: a very long conversation isn't summed or packed in
+one task, and windows end where chunks do.
 
 Edge cases: null role or text counts as empty; a null conv_id is a conversation of its own; null turns come last;
-turns with the same number are ordered by role, then text, and each is kept; a turn longer than the budget gets a
-window of its own; an empty table gives an empty result; further columns are ignored.
+turns with the same number are ordered by role, then text, and each is kept; a turn longer than the budget is a
+window alone; a system turn that doesn't fit beside a turn isn't repeated there, and one that leaves little room halves
+it between history and new turns; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 MARKS = 3
 BUDGET, HISTORY = 512, 128
 _SEGMENT = 512
+#: Budgets of a chunk, about.
+_CHUNK = 64
 #: What is followed by a backslash inside texts: a backslash, and the first character of a control string of the usual templates.
 _ESCAPED = r"(\\|<(?=\||/?s>|</?SYS>>|/?SYS>>)|\[(?=/?INST\]))"
 
@@ -37,7 +41,7 @@ def unescape(c: Column) -> Column:
 
 
 def _numbered(turns: DataFrame) -> DataFrame:
-    """Adds place (from 0) and before (tokens of the turns before) of each turn, system turns at place 0 not counted."""
+    """Adds place (from 0) and before (tokens of the turns before) of each turn."""
     t = turns.select(
         "conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     ).withColumn("tokens", F.regexp_count("text", F.lit(WORD)).cast("bigint") + MARKS)
@@ -56,34 +60,57 @@ def _numbered(turns: DataFrame) -> DataFrame:
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, formatted, context (turns that are repeated), targets (start and length of the loss, in code points).
+    """conv_id, window (place of its first new turn), formatted, context (turns that are repeated), targets (start and length of the loss, in code points).
 
-    A window's new turns start within budget - history tokens of each other.
+    A window has at most budget tokens, or else one turn alone.
     """
     if not 0 <= history < budget - history:
         raise ValueError("history has to be less than half the budget")
-    fresh = budget - history
     n = _numbered(turns)
     rendered = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP))
     n = n.select("*", F.struct((F.length(rendered) + 0).alias("lead"), F.length(escape(F.col("text"))).alias("body"), F.concat(rendered, escape(F.col("text")), F.lit(END)).alias("line"), (F.col("role") == "assistant").alias("target")).alias("turn_"))
-    n = n.withColumn("own", F.floor(F.col("before") / fresh))
     first = (F.col("place") == 0) & (F.col("role") == "system")
-    system = n.where(first).select(F.col("conv_id").alias("c2"), F.col("turn_").alias("system"))
-    # a turn can be history of the next window only: windows are wider than the history
-    dealt = n.select("conv_id", "place", "before", "own", "turn_", first.alias("is_system"), F.explode(F.when(first, F.array("own")).otherwise(F.array("own", F.col("own") + 1))).alias("window"))
-    dealt = dealt.withColumn("new", F.col("window") == F.col("own"))
-    start = F.min(F.when(F.col("new"), F.struct("before", "place"))).alias("start")
-    item = F.struct("place", "new", "before", "turn_", "is_system")
-    grouped = dealt.groupBy("conv_id", "window").agg(start, F.sort_array(F.collect_list(item)).alias("items")).where("start is not null")
-    kept = F.filter("items", lambda x: x.new | (x.before >= F.col("start.before") - history))
-    grouped = grouped.select("conv_id", "window", kept.alias("items"))
+    system = n.where(first).select(F.col("conv_id").alias("c2"), F.col("turn_").alias("system"), F.col("tokens").alias("s"))
+    # turns are packed chunk by chunk; a chunk's last turns can be history of the next one's windows
+    size = _CHUNK * budget
+    chunk = F.floor(F.col("before") / size)
+    following = F.floor((F.col("before") + history) / size)
+    dealt = n.select("conv_id", "place", "before", "tokens", "turn_", first.alias("is_system"), chunk.alias("own"), F.explode(F.when(first, F.array(chunk)).otherwise(F.array_distinct(F.array(chunk, following)))).alias("chunk"))
+    item = F.struct("place", "before", "tokens", (F.col("chunk") == F.col("own")).alias("new"), "is_system", "turn_")
+    grouped = dealt.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(item)).alias("items"))
     joined = grouped.join(system, grouped.conv_id.eqNullSafe(system.c2), "left")
-    alone = F.exists("items", lambda x: x.is_system)
-    all_ = F.concat(
-        F.when(F.col("system").isNotNull() & ~alone, F.array(F.struct(F.lit(False).alias("new"), F.col("system").alias("turn_")))).otherwise(F.array().cast("array<struct<new:boolean,turn_:struct<lead:int,body:int,line:string,target:boolean>>>")),
-        F.transform("items", lambda x: F.struct(x.new.alias("new"), x.turn_.alias("turn_"))),
-    )
-    out = joined.select("conv_id", "window", all_.alias("turns"))
+    # what the system turn, history and new turns may take; a system turn beyond the budget isn't repeated
+    joined = joined.withColumn("s", F.coalesce("s", F.lit(0))).withColumn("room", budget - F.when(F.col("s") < budget, F.col("s")).otherwise(0))
+    joined = joined.withColumn("past", F.least(F.lit(history), F.floor((F.col("room") - 1) / 2))).withColumn("fresh", F.col("room") - F.col("past"))
+
+    def pack(a: Column, x: Column) -> Column:
+        """done: windows that are full; cur: the one being filled, whose size is without the system turn; its first is -1 before the first turn."""
+        fits = (a.cur.first >= 0) & F.when(a.cur.size == 0, F.col("s") + x.tokens <= budget).otherwise(a.cur.size + x.tokens <= F.col("fresh"))
+        more = F.struct(a.cur.first.alias("first"), a.cur.before.alias("before"), x.place.alias("last"), (a.cur.size + x.tokens).alias("size"), a.cur.sys.alias("sys"))
+        other = F.struct(x.place.alias("first"), x.before.alias("before"), x.place.alias("last"), F.when(x.is_system, F.lit(0).cast("bigint")).otherwise(x.tokens).alias("size"), x.is_system.alias("sys"))
+        return F.struct(
+            F.when(fits | (a.cur.first < 0), a.done).otherwise(F.concat(a.done, F.array(a.cur))).alias("done"),
+            F.when(fits, more).otherwise(other).alias("cur"),
+        )
+
+    window = "struct<first:bigint,before:bigint,last:bigint,size:bigint,sys:boolean>"
+    none = F.expr(f"named_struct('done', cast(array() as array<{window}>), 'cur', cast(named_struct('first', -1, 'before', 0, 'last', -1, 'size', 0, 'sys', false) as {window}))")
+    packed = F.aggregate(F.filter("items", lambda x: x.new), none, pack, lambda a: F.filter(F.concat(a.done, F.array(a.cur)), lambda w: w.first >= 0))
+
+    def fill(w: Column) -> Column:
+        repeated = ~w.sys & F.col("system").isNotNull() & (F.col("s") + w.size <= budget)
+        left = F.least(F.col("past"), budget - w.size - F.when(repeated, F.col("s")).otherwise(0))
+        kept = F.filter("items", lambda x: F.when(x.place < w.first, ~x.is_system & (x.before >= w.before - left)).otherwise(x.place <= w.last))
+        return F.struct(
+            w.first.alias("window"),
+            F.concat(
+                F.when(repeated, F.array(F.struct(F.lit(False).alias("new"), F.col("system").alias("turn_")))).otherwise(F.array().cast("array<struct<new:boolean,turn_:struct<lead:int,body:int,line:string,target:boolean>>>")),
+                F.transform(kept, lambda x: F.struct((x.place >= w.first).alias("new"), x.turn_.alias("turn_"))),
+            ).alias("turns"),
+        )
+
+    packed = joined.withColumn("windows", packed)
+    out = packed.select("conv_id", F.explode(F.transform("windows", fill)).alias("w")).select("conv_id", "w.window", "w.turns")
     spans = F.aggregate(
         "turns",
         F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,length:int>>))"),

@@ -1,4 +1,5 @@
 import random
+import re
 
 from inkveil.llm import chat
 
@@ -41,3 +42,33 @@ def test_one_long_conversation(spark, tmp_path):
     rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i}", None) for i in range(3000)]
     probe = [(-7, 0, "user", chat.PROBE[2]), (-7, 1, "assistant", chat.PROBE[2])]
     assert _run(spark, tmp_path, rows) == chat.brute([r[:4] for r in rows] + probe)
+
+
+def test_no_window_exceeds_its_budget(spark):
+    rng = random.Random(5)
+    rows = []
+    for conv in range(40):
+        system = rng.choice([0, 2, 60, 300, 505, 700])
+        rows += [(conv, 0, "system", "s " * system)] if system else []
+        rows += [(conv, i, ("user", "assistant")[i % 2], "w " * rng.choice([0, 1, 20, 90, 200, 370, 480, 509, 600])) for i in range(1, rng.choice([2, 9, 60]))]
+    rows += [(100, 0, "user", "w " * 97), (100, 1, "assistant", "w " * 597)]
+    rows += [(101, i, ("user", "assistant")[i % 2], "w " * (i % 70)) for i in range(2500)]
+    out = chat.windows(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    new, wide = {}, 0
+    for r in sorted(out, key=lambda r: (r.conv_id, r.window)):
+        lines = r.formatted.split(chat.END)[:-1]
+        tokens = [len(re.findall(chat.WORD, x.split(chat.SEP, 1)[1])) + chat.MARKS for x in lines]
+        assert sum(tokens) <= chat.BUDGET or len(lines) == 1
+        assert r.context < len(lines)
+        said = [x for x in lines[: r.context] if "system" not in x.split(chat.SEP)[0]]
+        earlier = new.setdefault(r.conv_id, [])
+        assert said == earlier[len(earlier) - len(said) :]
+        wide += len(lines) > r.context + 1
+        earlier += lines[r.context :]
+    want = {}
+    for conv, _, role, text in rows:
+        want.setdefault(conv, []).append(f"{chat.START}{role}{chat.SEP}{text}")
+    assert new == want and wide > 50
+    assert [r.context for r in sorted(out, key=lambda r: r.window) if r.conv_id == 100] == [0, 0]
+    last = max((r for r in out if r.conv_id == 101), key=lambda r: r.window)
+    assert last.context > 0
