@@ -35,6 +35,41 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED = 300_000
 
 
+def model_type(proto: bytes) -> int:
+    """trainer_spec.model_type of a model proto: 1 for unigram, which is the default, 2 for BPE, 3 for words, 4 for characters."""
+
+    def fields(data: bytes):
+        at = 0
+
+        def varint() -> int:
+            nonlocal at
+            n = shift = 0
+            while True:
+                byte = data[at]
+                at += 1
+                n |= (byte & 127) << shift
+                shift += 7
+                if byte < 128:
+                    return n
+
+        while at < len(data):
+            number, wire = divmod(varint(), 8)
+            if wire == 0:
+                yield number, varint()
+            elif wire in (1, 2, 5):
+                size = varint() if wire == 2 else 8 if wire == 1 else 4
+                at += size
+                yield number, data[at - size : at]
+            else:
+                raise ValueError("no model proto")
+
+    kind = 1
+    for number, spec in fields(proto):
+        if number == 2:
+            kind = next((v for n, v in reversed(list(fields(spec))) if n == 3), kind)
+    return kind
+
+
 class Codec:
     """Tables of one model. pieces: (text, score) by id for the pieces that encoding may use; bytes_: id of each byte."""
 
@@ -62,13 +97,16 @@ class Codec:
     def load(cls, model: bytes) -> Codec:
         import sentencepiece
 
+        kind = model_type(model)
+        if kind not in (1, 2):
+            raise ValueError("the model is neither unigram nor BPE")
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         odd = [sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i) for i in range(n)]
         by_name = {sp.id_to_piece(i): i for i in range(n) if sp.is_byte(i)}
         if len(by_name) != 256:
             raise ValueError("the model has no byte pieces")
-        return cls({i: (sp.id_to_piece(i), sp.get_score(i)) for i in range(n) if not odd[i]}, [by_name[f"<0x{b:02X}>"] for b in range(256)])
+        return cls({i: (sp.id_to_piece(i), sp.get_score(i)) for i in range(n) if not odd[i]}, [by_name[f"<0x{b:02X}>"] for b in range(256)], unigram=kind == 1)
 
     def merged(self, text: str) -> list[int | str]:
         """Pieces by merging the best neighbours first, the left ones on a tie; characters that are no piece stay."""

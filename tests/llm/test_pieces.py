@@ -75,3 +75,26 @@ def test_unigram_states_find_the_best_sum():
 def test_marks_inside_pieces_are_refused():
     with pytest.raises(ValueError):
         pieces.Codec({0: ("a▁b", 0.0)}, [])
+
+
+def test_model_type_is_read_from_the_model(tmp_path):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    rng = random.Random(6)
+    stems = ["anti", "dis", "establish", "ment", "arian", "ism", "re", "play", "ing", "ed", "er"]
+    lines = [" ".join("".join(rng.choices(stems, k=rng.randrange(1, 5))) for _ in range(8)) for _ in range(400)]
+    (tmp_path / "lines.txt").write_text("\n".join(lines))
+    for kind, unigram in (("unigram", True), ("bpe", False), ("char", None)):
+        sentencepiece.SentencePieceTrainer.train(
+            input=f"{tmp_path}/lines.txt", model_prefix=f"{tmp_path}/{kind}", model_type=kind, vocab_size=340, hard_vocab_limit=False,
+            byte_fallback=True, normalization_rule_name="identity", remove_extra_whitespaces=False, num_threads=1, minloglevel=2,
+        )
+        model = (tmp_path / f"{kind}.model").read_bytes()
+        if unigram is None:
+            with pytest.raises(ValueError):
+                pieces.Codec.load(model)
+            continue
+        codec = pieces.Codec.load(model)
+        assert codec.unigram == unigram
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        texts = [*lines[:100], "replay é unseen", "xyz antiing", ""]
+        assert [x.tolist() for x in codec.encode(texts)] == [sp.encode(t) for t in texts]
