@@ -282,8 +282,8 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("redact_verify")
 def redact_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents masked and verified: no found string is left."""
-    r = redact(_read(spark, sf_dir, "documents"), _of("email", "credit-card", "ipv4", "phone-intl", "ssn-dashed"))
+    """Whole documents masked by the whole catalog and verified: passed where no found string is left."""
+    r = redact(_read(spark, sf_dir, "documents"), DetectOptions(as_of_year=YEAR))
     return r.select("doc_id", F.size("matches").alias("n"), F.sha2("masked", 256).alias("masked_sha256"), F.forall("checks", lambda c: c.passed).alias("passed"))
 
 
@@ -416,4 +416,4 @@ def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matches_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations with the number of matches, those without too."""
     c = _read(spark, sf_dir, "conversations")
-    return with_matches(c, _of("email", "phone-intl", "credit-card", "ipv4")).select("conv_id", "turn", F.size("matches").alias("n"))
+    return with_matches(c, DetectOptions(as_of_year=YEAR)).select("conv_id", "turn", F.size("matches").alias("n"))

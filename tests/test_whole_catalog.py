@@ -1,0 +1,38 @@
+"""Queries that mask and count by the whole catalog."""
+
+import hashlib
+
+from inkveil.plans import registry
+
+#: Texts, the strings to be masked in them, and whether none of these is left.
+CASES = [
+    ("Kimberly Lawrence, born on 24/05/1977", ["Kimberly Lawrence", "24/05/1977"], True),
+    ("IBAN GB82 WEST 1234 5698 7654 32Notes", ["GB82 WEST 1234 5698 7654 32"], True),
+    ("New Amandafort. Wyoming United States- 97375", ["New Amandafort", "Wyoming", "97375"], True),
+    ("HOSP1234567890123 ADR1234", ["DR1234"], True),
+    ("Patient Name: Lisa Chung Contact", ["Lisa Chung"], True),
+    ("Patient Name: Lisa Chung Contact. lisa chung", ["Lisa Chung"], False),
+    ("Contact jane.doe@example.comSSN 123-45-6789", ["jane.doe@example.com", "123-45-6789"], True),
+    ("host 192.168.1.10 and 192.168.001.1", ["192.168.1.10"], True),
+    ("passport X12345678", ["X12345678"], True),
+    ("nothing here", [], True),
+    (None, [], True),
+]
+
+
+def brute(text, secrets):
+    for s in secrets:
+        text = text.replace(s, "█" * len(s), 1)
+    return hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_redact_verify_masks_by_the_whole_catalog(spark, tmp_path):
+    spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(CASES)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.masked_sha256, r.passed) for r in registry.redact_verify(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(s), brute(t, s), passed) for i, (t, s, passed) in enumerate(CASES)}
+
+
+def test_matches_per_page_counts_by_the_whole_catalog(spark, tmp_path):
+    spark.createDataFrame([(1, i, "user", t) for i, (t, *_) in enumerate(CASES)], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.n for r in registry.matches_per_page(spark, str(tmp_path)).collect()}
+    assert got == {i: len(s) for i, (_, s, _) in enumerate(CASES)}
