@@ -1,7 +1,7 @@
 """Detection: candidates of a pattern catalog, sanitised, validated, scored by context, and freed of overlaps.
 
 All of it is one projection over arrays: no shuffle, no Python, and texts are read where they lie. Null text counts as
-empty and has no matches. Offsets are UTF-8 bytes (start, end) and code points (char_start, char_end), ends exclusive.
+empty and has no matches; in matches, the noncharacter U+10FFFF counts as U+10FFFE. Offsets are UTF-8 bytes (start, end) and code points (char_start, char_end), ends exclusive.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sanitize, validators
 from ..functions.catalog import GROUPS, PATTERNS, Pattern
-from ..functions.text import ascii_lower, let
+from ..functions.text import ascii_lower, let, settled, sums_before
 
 MATCH = "struct<start:int,end:int,char_start:int,char_end:int,text:string,category:string,confidence:float,detector_id:string,source:string>"
 _CANDIDATE = "array<struct<pattern:int,chars:int,bytes:int,raw:string>>"
@@ -57,25 +57,41 @@ def _single(x: float) -> Column:
     return F.lit(float(np.float32(x))).cast("float")
 
 
-def _found(text: str, pattern: str, number: int) -> str:
-    """SQL: leftmost non-overlapping matches of a pattern in a column, with their offsets and the pattern's number.
+#: A noncharacter put on both sides of each match, and the one that stands for it where a text holds it.
+MARK, STAND_IN = "\U0010ffff", "\U0010fffe"
+
+
+def _whole(text: str) -> Column:
+    t = F.coalesce(F.col(text), F.lit(""))
+    return F.when(t.contains(MARK), F.translate(t, MARK, STAND_IN)).otherwise(t)
 
-    Matches alternate with the pieces between them; the last piece has no match after it.
-    """
-    if "'" in pattern:
-        raise ValueError("patterns hold no quotes")
-    grown = "a.chars + length(x.gap)", "a.bytes + octet_length(x.gap)"
-    return (
-        f"aggregate(zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (g, m) -> named_struct('gap', g, 'raw', m)), "
-        f"named_struct('chars', 0, 'bytes', 0, 'out', cast(array() as {_CANDIDATE})), "
-        f"(a, x) -> if(x.raw is null, a, named_struct('chars', {grown[0]} + length(x.raw), 'bytes', {grown[1]} + octet_length(x.raw), "
-        f"'out', concat(a.out, array(named_struct('pattern', {number}, 'chars', {grown[0]}, 'bytes', {grown[1]}, 'raw', x.raw))))), a -> a.out)"
-    )
+
+def _marked(whole: Column, pattern: str) -> Column:
+    """The text with a mark on both sides of each match: one search finds all matches and their places."""
+    return F.regexp_replace(whole, pattern, f"{MARK}$0{MARK}")
+
+
+def _placed(found: Column) -> Column:
+    """The candidates of struct(pattern, marked): pieces alternate between gaps and matches, and lengths before them are their places."""
+
+    def of(pieces: Column) -> Column:
+        places = F.struct(sums_before(F.transform(pieces, F.length)).alias("chars"), sums_before(F.transform(pieces, F.octet_length)).alias("bytes"))
+        odd = F.transform(F.sequence(F.lit(1), F.floor((F.size(pieces) - 1) / 2).cast("int")), lambda i: 2 * i - 1)
+        return let(
+            places,
+            lambda at: F.transform(
+                odd,
+                lambda i: F.struct(found["pattern"].alias("pattern"), F.get(at["chars"], i).alias("chars"), F.get(at["bytes"], i).alias("bytes"), F.get(pieces, i).alias("raw")),
+            ),
+        )
+
+    return let(F.split(found["marked"], MARK, -1), of)
 
 
 def candidates(text: str, pattern: str) -> Column:
     """array of struct(pattern, chars, bytes, raw): the matches of a pattern in the named column; null text has none."""
-    return F.expr(_found(f"coalesce(`{text}`, '')", pattern, 0))
+    found = F.struct(F.lit(0).alias("pattern"), _marked(_whole(text), pattern).alias("marked"))
+    return let(found, lambda f: F.when(f["marked"].contains(MARK), _placed(f)).otherwise(F.array().cast(_CANDIDATE))).cast(_CANDIDATE)
 
 
 def context(text: Column, chars: Column, raw: Column) -> Column:
@@ -95,14 +111,22 @@ def _keyword_pattern(keywords: tuple[str, ...]) -> str:
     return f" (?:{'|'.join(spaced)}) "
 
 
-def _all_candidates(text: str, patterns: list[Pattern]) -> Column:
+def _gates(whole: str, patterns: list[Pattern]) -> Column:
+    """Whether a text has what patterns need: each need is looked for once, whichever patterns share it."""
+    return F.array(*(F.col(whole).rlike(n) for n in dict.fromkeys(p.needs for p in patterns if p.needs)))
+
+
+def _all_candidates(whole: str, gates: str, patterns: list[Pattern]) -> Column:
     """Candidates of all patterns; texts without what a pattern needs are not searched for it."""
-    whole, none = f"coalesce(`{text}`, '')", f"cast(array() as {_CANDIDATE})"
+    needs = list(dict.fromkeys(p.needs for p in patterns if p.needs))
     found = []
     for i, p in enumerate(patterns):
-        here = _found(whole, ("(?iU)" if p.case_blind else "(?U)") + p.regex, i)
-        found.append(f"if({whole} rlike r'{p.needs}', {here}, {none})" if p.needs else here)
-    return F.expr(f"concat({', '.join(found)})" if found else none)
+        here = _marked(F.col(whole), ("(?iU)" if p.case_blind else "(?U)") + p.regex)
+        if p.needs:
+            here = F.when(F.get(F.col(gates), F.lit(needs.index(p.needs))), here)
+        found.append(F.struct(F.lit(i).alias("pattern"), here.alias("marked")))
+    hits = F.filter(F.array(*found), lambda f: F.coalesce(f["marked"].contains(MARK), F.lit(False)))
+    return F.flatten(F.transform(hits, _placed)).cast(_CANDIDATE)
 
 
 def _choose(c: Column, patterns: list[Pattern], name: str, makers: dict, otherwise: Column) -> Column:
@@ -205,23 +229,29 @@ def with_matches(pages: DataFrame, opts: DetectOptions | None = None, text: str
 
     Each step is a projection of its own over the small array of the step before.
     """
-    out, step = pages, f"{name}_step_"
-    for column in _steps(opts or DetectOptions(), text, step, id(pages.sparkSession.sparkContext)):
+    return settled(_with_matches(pages, opts, text, name), name)
+
+
+def _with_matches(pages: DataFrame, opts: DetectOptions | None, text: str, name: str) -> DataFrame:
+    step, whole, gates = f"{name}_step_", f"{name}_whole_", f"{name}_gates_"
+    opts = opts or DetectOptions()
+    out = pages.withColumn(whole, _whole(text)).withColumn(gates, _gates(whole, opts.wanted()))
+    for column in _steps(opts, whole, gates, step, id(pages.sparkSession.sparkContext)):
         out = out.withColumn(step, column)
-    return out.withColumn(name, F.col(step)).drop(step)
+    return out.withColumn(name, F.col(step)).drop(step, whole, gates)
 
 
 @functools.lru_cache(maxsize=64)
-def _steps(opts: DetectOptions, text: str, step: str, context: int) -> tuple[Column, ...]:
+def _steps(opts: DetectOptions, text: str, gates: str, step: str, context: int) -> tuple[Column, ...]:
     """The steps' columns. They are many expressions, so they are built once in a Spark context for the same options."""
     patterns, valid = opts.wanted(), validators.by_name(opts.as_of_year)
     if not patterns:
         return (F.array().cast(f"array<{MATCH}>"),)
     makers = {k: (lambda c, v=v: v(c.made.text)) for k, v in valid.items()}
     ok = lambda c: c.made.text.isNotNull() & _choose(c, patterns, "valid", makers, F.lit(True))
-    scored = F.transform(step, _scored(F.coalesce(F.col(text), F.lit("")), patterns, opts))
+    scored = F.transform(step, _scored(F.col(text), patterns, opts))
     return (
-        _all_candidates(text, patterns),
+        _all_candidates(text, gates, patterns),
         F.transform(step, _cleaned(patterns)),
         F.filter(step, ok),
         F.filter(scored, lambda m: m.confidence >= _single(opts.floor)).cast(f"array<{MATCH}>"),
@@ -231,5 +261,6 @@ def _steps(opts: DetectOptions, text: str, step: str, context: int) -> tuple[Col
 
 def detect(pages: DataFrame, opts: DetectOptions | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """A row for each match: keys, then the fields of MATCH."""
-    found = with_matches(pages.select(*keys, F.col(text).alias("text_")), opts, text="text_", name="matches_")
-    return found.select(*keys, F.explode("matches_").alias("m_")).select(*keys, "m_.*")
+    found = _with_matches(pages.select(*keys, F.col(text).alias("text_")), opts, "text_", "matches_")
+    # explode() lets Spark infer a filter on the array's size, and put the whole expression below the projections once more
+    return found.select(*keys, F.explode_outer("matches_").alias("m_")).where(F.col("m_").isNotNull()).select(*keys, "m_.*")

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import let, scan, sums_before
 
 BLOCK = "█"
 #: A checked pixel is darker than this in each channel.
@@ -20,30 +20,51 @@ DARK = 40
 
 
 def merged(spans: Column) -> Column:
-    """array<struct<s, e>> of disjoint spans, from matches with char_start and char_end in any order."""
+    """array<struct<s, e>> of disjoint spans, from matches with char_start and char_end in any order; touching ones become one."""
+
+    def heads(x: Column) -> Column:
+        # the furthest end before each span; a span that begins behind it opens a new one
+        return let(scan(F.transform(x, lambda v: v.e), F.lit(-1), lambda a, b: F.greatest(a, b)), lambda ends: of(x, ends))
+
+    def of(x: Column, ends: Column) -> Column:
+        opening = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.get(x, i).s > F.get(ends, i))
+        last = F.array_max(F.transform(x, lambda v: v.e))
+        closing = lambda o: F.concat(F.slice(F.transform(o, lambda i: F.get(ends, i)), F.lit(2), F.size(o)), F.array(last))
+        return let(opening, lambda o: F.zip_with(o, closing(o), lambda i, e: F.struct(F.get(x, i).s.alias("s"), e.alias("e"))))
+
     ordered = F.array_sort(F.transform(spans, lambda m: F.struct(m.char_start.alias("s"), m.char_end.alias("e"))))
+    return F.when(F.size(spans) > 0, let(ordered, heads)).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+
 
-    def add(kept: Column, x: Column) -> Column:
-        last = F.element_at(kept, -1)
-        grown = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(F.struct(last.s.alias("s"), F.greatest(last.e, x.e).alias("e"))))
-        return F.when((F.size(kept) > 0) & (x.s <= F.try_element_at(kept, F.lit(-1)).e), grown).otherwise(F.concat(kept, F.array(x)))
+#: Characters of a block: a place in a text is found by its block, not from the text's start.
+CHARS = 4096
 
-    return F.aggregate(ordered, F.array().cast("array<struct<s:int,e:int>>"), add)
+
+def _cut(blocks: Column, a: Column, b: Column) -> Column:
+    """The characters [a, b) of a text that is given in blocks."""
+    first, last = F.floor(a / CHARS).cast("int"), F.floor(b / CHARS).cast("int")
+    head = F.substr(F.get(blocks, first), a - first * CHARS + 1, F.when(first == last, b - a).otherwise(F.lit(CHARS)))
+    middle = F.when(last > first + 1, F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")).otherwise("")
+    tail = F.when(last > first, F.substr(F.get(blocks, last), F.lit(1), b - last * CHARS)).otherwise("")
+    return F.concat(F.coalesce(head, F.lit("")), middle, F.coalesce(tail, F.lit("")))
 
 
 def masked(text: Column, spans: Column, token: Column | None = None) -> Column:
-    """text with each span replaced: by blocks of its length, or by token."""
+    """text with each span replaced: by blocks of its length, or by token. The time is linear in text and spans."""
 
-    def fold(all_: Column) -> Column:
-        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    def piece(blocks: Column, all_: Column):
+        def of(x: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(all_, i - 1).e).otherwise(0)
+            return F.concat(_cut(blocks, before, x.s), F.repeat(F.lit(BLOCK), x.e - x.s) if token is None else token)
 
-        def add(a: Column, x: Column) -> Column:
-            cover = F.repeat(F.lit(BLOCK), x.e - x.s) if token is None else token
-            return F.struct(F.concat(a["out"], F.substr(text, a["at"] + 1, x.s - a["at"]), cover).alias("out"), x.e.alias("at"))
+        return of
 
-        return F.aggregate(all_, start, add, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
+    def drawn(t: Column, all_: Column) -> Column:
+        blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0))
+        return let(blocks, lambda k: F.concat(F.array_join(F.transform(all_, piece(k, all_)), ""), _cut(k, F.element_at(all_, -1).e, F.length(t))))
 
-    return F.when(F.size(spans) > 0, let(merged(spans), fold)).otherwise(text)
+    bound = F.struct(text.alias("t"), spans.alias("s"))
+    return let(bound, lambda x: F.when(F.size(x["s"]) > 0, let(merged(x["s"]), lambda m: drawn(x["t"], m))).otherwise(x["t"]))
 
 
 def with_masked(pages: DataFrame, text: str = "text", matches: str = "matches", name: str = "masked") -> DataFrame:
@@ -51,11 +72,20 @@ def with_masked(pages: DataFrame, text: str = "text", matches: str = "matches",
 
 
 def occurrences(text: Column, needle: Column) -> Column:
-    """All places of a needle, overlapping ones too, as struct(char_start, char_end); none for an empty needle."""
-    n = F.length(needle)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, n) == needle)
-    spans = F.transform(places, lambda i: F.struct((i - 1).alias("char_start"), (i - 1 + n).alias("char_end")))
-    return F.when((n > 0) & text.contains(needle), spans).otherwise(F.array().cast("array<struct<char_start:int,char_end:int>>"))
+    """All places of a needle, overlapping ones too, as struct(char_start, char_end); none for an empty needle or null.
+
+    The text is split before each place, so that the lengths before the pieces are the places: the time is linear.
+    """
+    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(needle, F.lit("\\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    span = lambda at: F.struct(at.alias("char_start"), (at + F.length(needle)).alias("char_end"))
+
+    def places(pieces: Column) -> Column:
+        starts = sums_before(F.transform(pieces, F.length))
+        # the first piece may stand before the first place
+        return F.transform(F.when(F.startswith(text, needle), starts).otherwise(F.slice(starts, F.lit(2), F.size(pieces))), span)
+
+    found = let(F.split(text, quoted, -1), places)
+    return F.when((needle != "") & text.contains(needle), found).otherwise(F.array().cast("array<struct<char_start:int,char_end:int>>"))
 
 
 # --- rectangles, as columns: x, y, w, h in points from the top left ---

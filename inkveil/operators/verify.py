@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compact_text, normalize_text
+from ..functions.text import compact_text, let, normalize_text
 
 FORMAT = "redact-certificate/v1"
 #: Bytes that a form of a secret has at least to be looked for.
@@ -22,10 +22,27 @@ def sha256_hex(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
-def still_there(secret: Column, output: Column) -> Column:
+def forms(output: Column) -> Column:
+    """struct(plain, compact): the forms in which secrets are looked for. Bind them once for an output, not for each secret."""
+    text = F.coalesce(output, F.lit(""))
+    return F.struct(normalize_text(text).alias("plain"), compact_text(text).alias("compact"))
+
+
+def in_forms(secret: Column, of: Column) -> Column:
     """Whether the secret's plain or its compact form is in the output's; forms under LEAST_BYTES are not looked for."""
-    parts = [(F.octet_length(f(secret)) >= LEAST_BYTES) & f(F.coalesce(output, F.lit(""))).contains(f(secret)) for f in (normalize_text, compact_text)]
-    return F.coalesce(parts[0] | parts[1], F.lit(False))
+    found = lambda form: lambda s: (F.octet_length(s) >= LEAST_BYTES) & form.contains(s)
+    return F.coalesce(let(normalize_text(secret), found(of["plain"])) | let(compact_text(secret), found(of["compact"])), F.lit(False))
+
+
+def still_there(secret: Column, output: Column) -> Column:
+    """in_forms() for an output and a single secret."""
+    return let(forms(output), lambda of: in_forms(secret, of))
+
+
+def text_removal(secrets: Column, output: Column) -> Column:
+    """The check that none of an array of secrets is in the output; its detail lists the hashes of those that are."""
+    left = let(forms(output), lambda of: F.filter(F.coalesce(secrets, F.array().cast("array<string>")), lambda s: in_forms(s, of)))
+    return let(left, lambda x: F.struct(F.lit("text-removal").alias("id"), (F.size(x) == 0).alias("passed"), F.array_join(F.transform(x, sha256_hex), ",").alias("detail")))
 
 
 def secrets_of(regions: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "source_text") -> DataFrame:
@@ -40,10 +57,7 @@ def verify_text(outputs: DataFrame, secrets: DataFrame, key: str = "doc_id", tex
     """
     grouped = secrets.groupBy(key).agg(F.sort_array(F.collect_set("secret")).alias("secrets_"))
     joined = outputs.select(key, F.col(text).alias("text_")).join(grouped, key, "left")
-    left = F.filter(F.coalesce("secrets_", F.array().cast("array<string>")), lambda s: still_there(s, F.col("text_")))
-    detail = F.array_join(F.transform("left_", lambda s: sha256_hex(s)), ",")
-    check = F.struct(F.lit("text-removal").alias("id"), (F.size("left_") == 0).alias("passed"), detail.alias("detail"))
-    out = joined.withColumn("left_", left).select(key, F.array(check).alias("checks"))
+    out = joined.select(key, F.array(text_removal(F.col("secrets_"), F.col("text_"))).alias("checks"))
     return out.withColumn("passed", F.forall("checks", lambda c: c.passed))
 
 

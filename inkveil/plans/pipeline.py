@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import settled
 from ..operators.detect import DetectOptions, with_matches
-from ..operators.mask import with_masked
-from ..operators.verify import certify, still_there
+from ..operators.mask import masked, occurrences
+from ..operators.verify import certify, text_removal
 
 
 def redact(documents: DataFrame, opts: DetectOptions | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -15,17 +16,11 @@ def redact(documents: DataFrame, opts: DetectOptions | None = None, extra: tuple
 
     extra: strings that are masked wherever they occur, besides what is detected.
     """
-    from ..operators.mask import masked, occurrences
-
     found = with_matches(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), opts)
-    out = with_masked(found)
-    for s in extra:
-        out = out.withColumn("masked", masked(F.col("masked"), occurrences(F.col("masked"), F.lit(s))))
+    spans = F.transform("matches", lambda m: F.struct(m.char_start.alias("char_start"), m.char_end.alias("char_end")))
+    out = found.withColumn("masked", masked(F.col("text"), F.concat(spans, *(occurrences(F.col("text"), F.lit(s)) for s in extra))))
     secrets = F.array_distinct(F.concat(F.transform("matches", lambda m: m.text), F.array(*map(F.lit, extra)).cast("array<string>")))
-    left = F.filter(secrets, lambda s: still_there(s, F.col("masked")))
-    out = out.withColumn("left_", left)
-    check = F.struct(F.lit("text-removal").alias("id"), (F.size("left_") == 0).alias("passed"), F.array_join(F.transform("left_", lambda s: F.sha2(s, 256)), ",").alias("detail"))
-    return out.withColumn("checks", F.array(check)).drop("left_")
+    return settled(out.withColumn("checks", F.array(text_removal(secrets, F.col("masked")))), "masked", "checks")
 
 
 def certificates(redacted: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import validators as V
-from ..functions.catalog import BY_ID, PATTERNS
+from ..functions.catalog import BY_ID
 from ..operators import evaluate, findings, geometry, mask, verify
 from ..operators.detect import DetectOptions, detect, with_matches
 from .pipeline import certificates, redact
@@ -266,18 +266,13 @@ def detect_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("mask_literal", "SELECT doc_id, sha256(replace(text, 'the', '███')) AS masked_sha256, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS int) AS n FROM documents")
 def mask_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    # places by the pieces between them: a needle that can't overlap itself needs no search at each character
-    from ..operators.detect import candidates
-
-    d = d.withColumn("c", candidates("text", "the"))
-    d = d.withColumn("spans", F.transform("c", lambda x: F.struct(x.chars.alias("char_start"), (x.chars + 3).alias("char_end"))))
+    d = _read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("spans", mask.occurrences(F.col("text"), F.lit("the")))
     return d.select("doc_id", F.sha2(mask.masked(F.col("text"), F.col("spans")), 256).alias("masked_sha256"), F.size("spans").alias("n"))
 
 
-@_query("occurrences", "SELECT item_id, CAST(length(text) - length(replace(text, 'e', '')) AS int) AS n FROM benchmark")
+@_query("occurrences", "SELECT doc_id, CAST(length(text) - length(replace(text, 'e', '')) AS int) AS n FROM documents")
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "benchmark").select("item_id", F.size(mask.occurrences(F.col("text"), F.lit("e"))).alias("n"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.size(mask.occurrences(F.col("text"), F.lit("e"))).alias("n"))
 
 
 @_query("redact_verify")
@@ -406,12 +401,6 @@ def rough_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer").select("c_custkey", evaluate.rough_type(s).alias("kind"))
 
 
-@_query("patterns")
-def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalog."""
-    return spark.createDataFrame([(p.id, p.category, p.regex, p.base, list(p.keywords)) for p in PATTERNS], "id string, category string, regex string, base double, keywords array<string>")
-
-
 @_query("matches_per_page")
 def matches_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations with the number of matches, those without too."""

@@ -1,9 +1,11 @@
 """Detection on strings whose matches are known."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkveil.functions.catalog import BY_ID, PATTERNS
-from inkveil.operators.detect import DetectOptions, detect, with_matches
+from inkveil.operators.detect import MARK, STAND_IN, DetectOptions, candidates, detect, with_matches
+from inkveil.plans.pipeline import certificates, redact
 
 CASES = [
     ("", []),
@@ -84,3 +86,28 @@ def test_catalog():
 
 def test_empty_table(spark):
     assert detect(spark.createDataFrame([], "doc_id int, text string"), DetectOptions(patterns=(BY_ID["email"],))).count() == 0
+
+
+def test_plan_holds_each_search_once(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    pages = spark.createDataFrame([(1, "x")], "doc_id int, text string")
+    found = detect(pages, DetectOptions(as_of_year=2026))
+    masked = redact(pages, DetectOptions(as_of_year=2026), ("x",))
+    for df in (found, found.where("category = 'email'"), masked, masked.where("size(matches) > 0"), certificates(masked)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        for p in PATTERNS:
+            if p.id not in ("ssn-contiguous", "us-aba-routing", "date", "date-of-birth"):
+                assert plan.count(f"U){p.regex}, ") == 1, p.id
+
+
+def test_marks_and_places(spark):
+    text = f"{MARK}é jane@example.com {MARK}{STAND_IN} bob@example.org"
+    (row,) = with_matches(spark.createDataFrame([(text,)], "text string"), DetectOptions(patterns=(BY_ID["email"],))).collect()
+    assert [(m.char_start, m.char_end, m.text) for m in row.matches] == [(3, 19, "jane@example.com"), (23, 38, "bob@example.org")]
+    assert all(text.encode()[m.start : m.end].decode() == m.text for m in row.matches)
+
+
+def test_many_matches_in_one_text(spark):
+    n = 3000
+    (row,) = spark.createDataFrame([("é a@b.com " * n,)], "text string").select(F.size(candidates("text", r"[a-z]@b\.com")).alias("n"), F.element_at(candidates("text", r"[a-z]@b\.com"), -1).alias("last")).collect()
+    assert (row.n, row.last.chars, row.last.bytes) == (n, 10 * (n - 1) + 2, 11 * (n - 1) + 3)

@@ -1,6 +1,7 @@
 """Text forms, masking, verification, findings, geometry, evaluation, streams."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -90,6 +91,33 @@ def test_redact_verify_certify(spark):
     assert certificates(failed).count() == 0
 
 
+def test_masks_and_places_against_brute_force(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(120):
+        text = "".join(rng.choice("ab é😀\n") for _ in range(rng.choice([0, 1, 5, 300, 9000])))
+        spans = [(a, a + k) for a, k in ((rng.randrange(len(text) + 1), rng.choice([1, 2, 30])) for _ in range(rng.choice([0, 1, 2, 400]))) if a + k <= len(text)]
+        rows.append((i, text, spans))
+    df = spark.createDataFrame([*rows, (-1, None, [])], "id int, t string, s array<struct<char_start:int,char_end:int>>")
+    out = {r.id: r for r in df.select("id", mask.masked(F.col("t"), F.col("s")).alias("m"), mask.masked(F.col("t"), F.col("s"), F.lit("<>")).alias("k"), *(mask.occurrences(F.col("t"), F.lit(x)).alias(n) for n, x in (("aa", "aa"), ("e", r"\E"), ("smile", "😀")))).collect()}
+    assert out[-1].m is None and out[-1].aa == []
+    for i, text, spans in rows:
+        chars = list(text)
+        for a, b in spans:
+            chars[a:b] = mask.BLOCK * (b - a)
+        assert out[i].m == "".join(chars)
+        groups: list = []
+        for a, b in sorted(spans):
+            if groups and a <= groups[-1][1]:
+                groups[-1][1] = max(groups[-1][1], b)
+            else:
+                groups.append([a, b])
+        ends = [0, *(b for _, b in groups)]
+        assert out[i].k == "".join(text[e:a] + "<>" for e, (a, _) in zip(ends, groups, strict=False)) + text[ends[-1] :]
+        for got, x in ((out[i].aa, "aa"), (out[i].e, r"\E"), (out[i].smile, "😀")):
+            assert [tuple(g) for g in got] == [(j, j + len(x)) for j in range(len(text)) if text.startswith(x, j)]
+
+
 def test_text_removal(spark):
     outs = spark.createDataFrame([(1, "has 123-45-6789"), (2, "J a n e"), (3, None)], "doc_id int, masked string")
     secrets = spark.createDataFrame([(1, "1 2 3"), (2, "JANE"), (3, "gone")], "doc_id int, secret string")
