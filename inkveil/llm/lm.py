@@ -1,439 +1,533 @@
-"""Bigram language model in an Elias-Fano trie, counted by Spark and scored from memory-mapped levels.
+"""Trigram language model in Elias-Fano tries, one for each shard of n-grams, queried in bulk.
 
-Level 1 holds the training tokens as sorted hashes: a token's place is its id. Level 2 holds, for each id, the ids that
-followed it, once or more, sorted. Both levels are cut into shards that tasks build on their own; monotone pointers
-into a shard are unary Elias-Fano bits with a rank directory, and a pair is found by searching the few successors of
-its context. Smoothed probabilities and back-off weights are quantised to a byte each.
+Texts are tokenised once, in batches of consecutive rows. A batch sends its distinct words, and later its distinct pairs and
+triples, to shards by their hashes, packed into one row for each shard, with how often they occur in training rows. A shard adds
+up the counts, builds its level and answers each batch from it; a batch takes the answers back and adds up its texts' scores. So
+all counts cover all training rows, whatever their number, no n-gram is dropped, n-grams of a frequent context are dealt over
+all shards, and neither the driver nor an executor ever holds the model: a task holds a shard or a few batches.
 
-p(v | u) = (c(uv) - D) / c(u) + b(u) p(v) for stored pairs, else b(u) p(v), where b(u) is the mass that stored pairs
-leave, and p(v) = (c(v) + 0.1) / (N + 0.1 (V + 1)).
+Words: a word is a 63-bit hash, which two of n words share with a chance of n^2 / 2^64 (for 10 million distinct words 5 in a
+million). Its id interleaves the ranks by count within shards, so that frequent words have small ids.
 
-All counts cover all training rows. Level files are streamed shard by shard into the shared folder, from where
-executors fetch them; they are mapped, not read, and their size is checked against MOST_BYTES.
+Trie of a shard: contexts, their successors, and the successors of pairs, each a monotone Elias-Fano sequence (high bits unary,
+low bits packed); monotone pointers say where the successors of a context begin. Successors are stored relative to their
+context: each range begins where the range before it ends, and a successor is searched within its context's range. Pairs and
+triples have a code of a byte, the logarithm of their count's share of all tokens; tries are read as they lie in memory.
 
-Edge cases: null text counts as empty, and an empty text has one token, its end; a null doc_id counts as held out;
-without training rows every token is unknown and N and V are 0, and base_score is then -0.0 for the only possible
-token; repeated rows each count; an empty table gives an empty result; further columns are ignored.
+p2(v | u) = (c(uv) + MU2 p1(v)) / (c(u) + MU2) and p3(v | tu) = (c(tuv) + MU3 p2(v | u)) / (c(tu) + MU3), with counts of pairs
+and triples from their codes, and p1(v) = (c(v) + 0.1) / (N + 0.1 (V + 1)) from exact counts, as base_score is.
+
+Edge cases: null text counts as empty, and an empty text has one token, its end; a null doc_id counts as held out; without
+training rows every token is unknown and N and V are 0; repeated rows each count and score alike; a text beyond BATCH bytes is
+a batch of its own, and no text is cut; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import math
-import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _made, discard, fold, materialize, release, scratch_root, slices, table
+from .common import discard, fold, materialize, release, slices, table
 
 FOLDS = 10
 ADDED = 0.1
-DISCOUNT = 0.75
-#: Log10 probabilities from LOWEST to 0 in 255 steps.
-LOWEST = -8.0
-#: Rows of a shard, about.
-SHARD = 250_000
-#: Bytes of both levels at most; executors hold them on local disk.
-MOST_BYTES = 64 * 2**30
+#: Weights of the shorter context's probability, in tokens.
+MU2, MU3 = 40.0, 8.0
+#: Bytes of text in a batch, and in the share of a shard, about.
+BATCH, SHARD = 2_000_000, 8_000_000
 
-_END = xxhash.xxh3_64_intdigest(b"\n") >> 1  # no word: words hold no white space
+_END = b"\n"  # no word: words hold no white space
+#: Ids before those of words: what stands before a text, and words that training rows lack.
+_BEGIN, _UNKNOWN, _FIRST = 0, 1, 2
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), _END]
+
+
+# --- packing ---
+
+
+def pack(**parts: np.ndarray) -> bytes:
+    """Arrays of integers as byte planes of the least width, compressed."""
+    head, body = [], []
+    for name, x in parts.items():
+        if x.dtype != np.uint8:
+            top = int(x.max()) if len(x) else 0
+            signed = len(x) and int(x.min()) < 0
+            x = x.astype("<i8" if signed else next(t for t in ("<u1", "<u2", "<u4", "<u8") if top < 256 ** int(t[2])))
+        head.append((name, x.dtype.str, len(x)))
+        body.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes())
+    top = json.dumps(head).encode()
+    return zstandard.compress(len(top).to_bytes(4, "little") + top + b"".join(body), 1)
+
+
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    whole = zstandard.decompress(data)
+    n = int.from_bytes(whole[:4], "little")
+    out, at = {}, 4 + n
+    for name, kind, k in json.loads(whole[4:at]):
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(whole, np.uint8, k * size, at).reshape(size, k)
+        out[name] = np.ascontiguousarray(planes.T).view(kind).reshape(k).astype(np.int64)
+        at += k * size
+    return out
+
+
+def _steps(*columns: np.ndarray) -> list[np.ndarray]:
+    """Rows in order, as small numbers: each column's step where the columns before it stay, else its value."""
+    out, same = [], np.ones(len(columns[0]), dtype=bool)
+    same[:1] = False
+    for x in columns:
+        step = np.diff(x, prepend=0)
+        first = not out
+        out.append(step if first else np.where(same, step, x))
+        same = same & (step == 0)
+    return out
 
 
-class Pointers:
-    """A monotone sequence from 0, as unary bits: the i-th set bit is at value + i. Values come back by select."""
+def _unsteps(*columns: np.ndarray) -> list[np.ndarray]:
+    out, same = [], np.ones(len(columns[0]), dtype=bool)
+    same[:1] = False
+    for x in columns:
+        total = x.cumsum()
+        if out:
+            start = np.maximum.accumulate(np.where(same, 0, np.arange(len(x))))
+            value = total - total[start] + x[start]
+        else:
+            value = total
+        out.append(value)
+        same = same & (np.diff(value, prepend=0) == 0)
+    return out
+
+
+# --- the trie ---
+
+
+class EliasFano:
+    """A sequence of integers from 0 that never falls: low bits packed, high bits unary."""
 
     @staticmethod
     def build(values: np.ndarray) -> dict[str, np.ndarray]:
-        at = values.astype(np.int64) + np.arange(len(values))
-        bits = np.zeros((int(at[-1]) // 64 + 1) * 64, dtype=bool)
-        bits[at] = True
-        packed = np.packbits(bits, bitorder="little")
-        rank = np.concatenate([[0], np.bitwise_count(packed.view("<u8")).astype(np.int64).cumsum()[:-1]])
-        return {"bits": packed, "rank": rank.astype("<u4")}
-
-    def __init__(self, bits: np.ndarray, rank: np.ndarray):
-        self.bits, self.rank = bits.reshape(-1, 8), rank
-
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        out = np.empty(len(i), dtype=np.int64)
-        for a in range(0, len(i), 65_536):  # 64 bytes for each
-            part = i[a : a + 65_536]
-            word = np.searchsorted(self.rank, part, side="right") - 1
-            ones = np.unpackbits(self.bits[word], axis=1, bitorder="little").cumsum(axis=1, dtype=np.uint8)
-            inside = (ones > (part - self.rank[word])[:, None].astype(np.uint8)).argmax(axis=1)
-            out[a : a + 65_536] = word * 64 + inside - part
+        n = len(values)
+        low = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
+        bits = np.empty((n, low), dtype=np.uint8)
+        for j in range(low):
+            bits[:, j] = (values >> j) & 1
+        at = (values >> low) + np.arange(n)
+        high = np.zeros(int(at[-1]) + 1 if n else 0, dtype=np.uint8)
+        high[at] = 1
+        return {"low": np.packbits(bits.reshape(-1), bitorder="little"), "high": np.packbits(high, bitorder="little"), "size": np.array([n, low])}
+
+    @staticmethod
+    def read(low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """All values: a shard's queries come by the thousand, so its sequences are read once for all of them."""
+        n, width = (int(x) for x in size)
+        out = (np.flatnonzero(np.unpackbits(high, bitorder="little"))[:n] - np.arange(n)) << width
+        bits = np.unpackbits(low, count=n * width, bitorder="little").reshape(n, width)
+        for j in range(width):
+            out |= bits[:, j].astype(np.int64) << j
         return out
 
 
-def find(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """For each range [low, high) of values, which are sorted there, the place of the wanted one, or -1."""
-    a, b = low.copy(), high.copy()
-    open_ = np.flatnonzero(a < b)
-    while len(open_):
-        middle = (a[open_] + b[open_]) >> 1
-        less = values[middle] < wanted[open_]
-        a[open_[less]] = middle[less] + 1
-        b[open_[~less]] = middle[~less]
-        open_ = open_[a[open_] < b[open_]]
-    hit = a < high
-    hit[hit] = values[a[hit]] == wanted[hit]
-    return np.where(hit, a, -1)
+def _order(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by columns of numbers from 0; as many columns as fit share a key."""
+    width = max(1, max((int(x.max()).bit_length() for x in columns if len(x)), default=1))
+    each = max(1, 63 // width)
+    keys = []
+    for i in range(0, len(columns), each):
+        key = columns[i]
+        for x in columns[i + 1 : i + each]:
+            key = key << width | x
+        keys.append(key)
+    return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
 
 
-def quantise(x: np.ndarray) -> np.ndarray:
-    return np.rint(np.clip(x / LOWEST, 0, 1) * 255).astype(np.uint8)
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it; the first one does."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    if len(new):
+        new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    return new
 
 
-DEQUANTISED = np.arange(256) / 255 * LOWEST
+def _added(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows in order, and their counts added up; those without any are left out."""
+    order = _order(columns)
+    columns, counts = [x[order] for x in columns], counts[order]
+    at = np.flatnonzero(_changes(*columns))
+    total = np.add.reduceat(counts, at) if len(at) else counts[:0]
+    return [x[at][total > 0] for x in columns], total[total > 0]
 
 
-def _pack(parts: dict[str, np.ndarray]) -> tuple[bytes, list]:
-    """Arrays one after another, each at a multiple of 8, and where they are."""
-    out, where, at = [], [], 0
-    for name, x in parts.items():
-        data = x.tobytes()
-        where.append((name, at, x.dtype.str, len(x)))
-        data += b"\0" * (-len(data) % 8)
-        out.append(data)
-        at += len(data)
-    return b"".join(out), where
-
-
-class Level:
-    """A mapped level: shards by their first key."""
-
-    def __init__(self, path: str, shards: list[dict]):
-        data = np.memmap(path, dtype=np.uint8, mode="r") if shards else np.empty(0, np.uint8)
-        self.first = np.array([s["first"] for s in shards], dtype=np.int64)
-        self.shards = []
-        for s in shards:
-            x = {n: data[s["at"] + a : s["at"] + a + np.dtype(t).itemsize * k].view(t) for n, a, t, k in s["where"]}
-            self.shards.append(s | x | {"pointers": Pointers(x["bits"], x["rank"])})
-
-    def parts(self, keys: np.ndarray):
-        """(shard, slice) for sorted keys."""
-        ends = np.append(np.searchsorted(keys, self.first[1:]), len(keys)) if self.shards else []
-        start = int(np.searchsorted(keys, self.first[0])) if self.shards else 0
-        for shard, end in zip(self.shards, ends, strict=True):
-            if end > start:
-                yield shard, slice(start, int(end))
-                start = int(end)
-
-
-class Words(Level):
-    @staticmethod
-    def build(keys: np.ndarray, counts: np.ndarray) -> tuple[dict, dict]:
-        first, width = int(keys[0]), int(keys[-1] - keys[0])
-        shift = max(0, width.bit_length() - max(1, len(keys)).bit_length())
-        drop = max(0, shift - 32)
-        k = (keys - first).astype(np.int64)
-        bucket = k >> shift
-        starts = np.searchsorted(bucket, np.arange(int(bucket[-1]) + 2))
-        low = ((k & ((1 << shift) - 1)) >> drop).astype("<u4")
-        return Pointers.build(starts) | {"low": low, "count": counts.astype("<u8")}, {"first": first, "n": len(keys), "shift": shift, "drop": drop, "buckets": int(bucket[-1]) + 1}
-
-    def ids(self, keys: np.ndarray) -> np.ndarray:
-        """Ids of sorted keys; -1 for unknown ones."""
-        out = np.full(len(keys), -1, dtype=np.int64)
-        for s, part in self.parts(keys):
-            k = keys[part] - s["first"]
-            bucket = k >> s["shift"]
-            ok = np.flatnonzero(bucket < s["buckets"])
-            k, bucket = k[ok], bucket[ok]
-            at = find(s["low"], s["pointers"][bucket], s["pointers"][bucket + 1], (k & ((1 << s["shift"]) - 1)) >> s["drop"])
-            out[part][ok] = np.where(at >= 0, at + s["offset"], -1)
-        return out
+def _bases(values: np.ndarray, pointers: np.ndarray) -> np.ndarray:
+    """Where the values of each range begin: behind those of the range before it."""
+    return np.concatenate([[0], values[pointers[1:] - 1] + 1]) if len(pointers) > 1 else np.zeros(1, dtype=np.int64)
+
+
+def _raised(x: np.ndarray, pointers: np.ndarray) -> np.ndarray:
+    """Values that rise within ranges, made to rise throughout."""
+    last = x[pointers[1:] - 1] + 1 if len(pointers) > 1 else x[:0]
+    return x + np.repeat(np.concatenate([[0], last.cumsum()[:-1]]) if len(last) else last, np.diff(pointers))
 
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        """Counts of ids; 0 for -1."""
-        order = np.argsort(ids, kind="stable")
-        sorted_, out = ids[order], np.zeros(len(ids), dtype=np.int64)
-        for s in self.shards:
-            a, b = np.searchsorted(sorted_, [s["offset"], s["offset"] + s["n"]])
-            if b > a:
-                out[order[a:b]] = s["count"][sorted_[a:b] - s["offset"]]
-        return out
 
+class Trie:
+    """Pairs (a, b) and triples (a, b, c) of ids with codes; 0 for what isn't there."""
 
-class Pairs(Level):
     @staticmethod
-    def build(u: np.ndarray, v: np.ndarray, c: np.ndarray, words: Words, stats: dict) -> tuple[dict, dict]:
-        contexts, at = np.unique(u, return_index=True)
-        first, last = int(contexts[0]), int(contexts[-1])
-        starts = np.searchsorted(u, np.arange(first, last + 2))
-        total = np.where(contexts == stats["words"], stats["rows"], words.counts(contexts)).astype(float)
-        kept = np.add.reduceat(c - DISCOUNT, at)
-        rest = np.clip((total - kept) / total, 1e-7, 1)
-        back = np.zeros(last - first + 1)
-        back[contexts - first] = np.log10(rest)
-        i = np.searchsorted(contexts, u)
-        p = (c - DISCOUNT) / total[i] + rest[i] * 10 ** unigram(words.counts(v), stats)
-        return Pointers.build(starts) | {"next": v.astype("<u4"), "code": quantise(np.log10(p)), "back": quantise(back)}, {"first": first, "n": last - first + 1}
-
-    def log10(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For pairs sorted by u: the stored log10 probability or NaN, and log10 of the back-off weight."""
-        stored, back = np.full(len(u), np.nan), np.zeros(len(u))
-        for s, part in self.parts(u):
-            k = u[part] - s["first"]
-            ok = np.flatnonzero(k < s["n"])
-            k = k[ok]
-            at = find(s["next"], s["pointers"][k], s["pointers"][k + 1], v[part][ok])
-            hit = at >= 0
-            stored[part][ok[hit]] = DEQUANTISED[s["code"][at[hit]]]
-            back[part][ok] = DEQUANTISED[s["back"][k]]
-        return stored, back
-
-
-def unigram(counts: np.ndarray, stats: dict) -> np.ndarray:
-    whole = stats["tokens"] + ADDED * (stats["words"] + 1)
-    return np.log10((counts + ADDED) / whole)
-
-
-def _write(shards: DataFrame, kind: str, room: int) -> tuple[str, list[dict]]:
-    """Append the shards (first, meta, data) in order to one file of the shared folder; its path and directory."""
-    import json
-
-    spark = shards.sparkSession
-    path = f"{scratch_root(spark)}/inkveil-{kind}-{uuid.uuid4().hex}.bin"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
-    _made.append((spark, path))
-    found, at, offset = [], 0, 0
-    try:
-        for row in shards.orderBy("first").toLocalIterator():
-            meta = json.loads(row.meta) | {"at": at, "offset": offset}
-            if at + len(row.data) > room:
-                raise ValueError(f"the model takes more than {room} bytes; raise MOST_BYTES")
-            out.write(row.data)
-            at, offset = at + len(row.data), offset + meta["n"]
-            found.append(meta)
-    finally:
-        out.close()
-    return path, found
-
-
-_open: dict[str, Level] = {}
-
-
-def _mapped(kind: type, path: str, shards: list[dict]) -> Level:
-    if path not in _open:
-        _open[path] = kind(SparkFiles.get(path.rsplit("/", 1)[1]) if shards else "", shards)
-    return _open[path]
-
-
-def _count_words(docs: DataFrame) -> DataFrame:
-    """key, n of training tokens, added up by task before the shuffle."""
+    def build(pairs: list[np.ndarray], codes2: np.ndarray, triples: list[np.ndarray], codes3: np.ndarray) -> bytes:
+        """From distinct rows in order."""
+        (a, b), (ta, tb, tc) = pairs, triples
+        opens = _changes(ta, tb)
+        # a triple's pair has a node here, with its code where the pair belongs to this shard
+        at = np.flatnonzero(opens)
+        node_a, node_b = np.concatenate([a, ta[at]]), np.concatenate([b, tb[at]])
+        order = _order([node_a, node_b])
+        node_a, node_b = node_a[order], node_b[order]
+        new = _changes(node_a, node_b)
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = new.cumsum() - 1
+        node_a, node_b = node_a[new], node_b[new]
+        code = np.zeros(len(node_a), dtype=np.uint8)
+        code[number[: len(a)]] = codes2
+        first = np.flatnonzero(_changes(node_a))
+        p1 = np.append(first, len(node_a))
+        p2 = np.searchsorted(np.repeat(number[len(a) :], np.diff(np.append(at, len(ta)))), np.arange(len(node_a) + 1))
+        filled = np.flatnonzero(np.diff(p2))
+        rising = _raised(tc, np.append(p2[filled], len(tc)))
+        parts = {"roots": node_a[first], "p1": p1, "seconds": _raised(node_b, p1), "p2": p2, "thirds": rising}
+        return _joined({f"{k}.{n}": x for k, v in parts.items() for n, x in EliasFano.build(v).items()} | {"code2": code, "code3": codes3})
+
+    def __init__(self, data: bytes):
+        x = _views(data)
+        self.roots, self.p1, self.seconds, self.p2, self.thirds = (EliasFano.read(*(x[f"{k}.{n}"] for n in ("low", "high", "size"))) for k in ("roots", "p1", "seconds", "p2", "thirds"))
+        self.code2, self.code3 = x["code2"], x["code3"]
+        self.base1 = _bases(self.seconds, self.p1)
+        # ranges without triples begin where the next range does
+        self.base2 = np.concatenate([[0], self.thirds + 1])[self.p2]
+
+    def _node(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The node of each pair, or -1."""
+        if not len(self.roots):
+            return np.full(len(a), -1, dtype=np.int64)
+        g = np.minimum(np.searchsorted(self.roots, a), len(self.roots) - 1)
+        return np.where(self.roots[g] == a, _within(self.seconds, self.base1, g, b), -1)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        node = self._node(a, b)
+        return np.where(node >= 0, self.code2[node], 0).astype(np.uint8) if len(self.code2) else np.zeros(len(a), dtype=np.uint8)
+
+    def triples(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        if not len(self.code3):
+            return np.zeros(len(a), dtype=np.uint8)
+        node = self._node(a, b)
+        at = np.where(node >= 0, _within(self.thirds, self.base2, np.maximum(node, 0), c), -1)
+        return np.where(at >= 0, self.code3[at], 0).astype(np.uint8)
+
+
+def _within(values: np.ndarray, bases: np.ndarray, group: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted successor in its context's range, or -1."""
+    target = bases[group] + wanted
+    at = np.minimum(np.searchsorted(values, target), len(values) - 1)
+    return np.where((values[at] == target) & (target < bases[group + 1]), at, -1)
+
+
+def _joined(parts: dict[str, np.ndarray]) -> bytes:
+    head = json.dumps([(k, x.dtype.str, len(x)) for k, x in parts.items()]).encode()
+    return len(head).to_bytes(4, "little") + head + b"".join(x.tobytes() for x in parts.values())
+
+
+def _views(data: bytes) -> dict[str, np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    out, at = {}, 4 + n
+    for name, kind, k in json.loads(data[4:at]):
+        out[name] = np.frombuffer(data, kind, k, at)
+        at += out[name].nbytes
+    return out
+
+
+def codes(counts: np.ndarray, total: int) -> np.ndarray:
+    """Logarithms of counts as shares of all tokens, in 254 steps from 1; 0 for none."""
+    steps = np.log(np.maximum(counts, 1)) / max(math.log(total), 1e-9) if total else np.zeros(len(counts))
+    return np.where(counts > 0, 1 + np.rint(254 * np.minimum(steps, 1)), 0).astype(np.uint8)
+
+
+def counts_of(total: int) -> np.ndarray:
+    """The count of each code."""
+    out = np.exp(np.arange(-1, 255) / 254 * math.log(max(total, 1)))
+    out[0] = 0
+    return out
+
+
+# --- batches and shards ---
+
+_ROW = "batch bigint, shard bigint, data binary"
+
+
+def _row(batch: list, shard: list, data: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(batch, pa.int64()), pa.array(shard, pa.int64()), pa.array(data, pa.binary())], names=["batch", "shard", "data"])
+
+
+def _mixed(*ids: np.ndarray) -> np.ndarray:
+    """31 bits of a hash of rows of ids."""
+    h = np.zeros(len(ids[0]), dtype=np.uint64)
+    for x in ids:
+        h = (h ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[tuple]]]:
+    """Runs of rows with the same key, as (key, rows of (the other key, data))."""
+    other = "batch" if key == "shard" else "shard"
+    now, rows = None, []
+    for b in batches:
+        for k, o, d in zip(b.column(key).to_pylist(), b.column(other).to_pylist(), b.column("data").to_pylist(), strict=True):
+            if k != now and rows:
+                yield now, rows
+                rows = []
+            now = k
+            rows.append((o, d))
+    if rows:
+        yield now, rows
 
-    def run(batches):
-        seen: Counter = Counter()
-        ends = 0
 
-        def flush():
-            keys = np.fromiter((xxhash.xxh3_64_intdigest(w) >> 1 for w in seen), dtype=np.int64, count=len(seen))
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(seen.values()), pa.int64())], names=["key", "n"])
+def _tokenised(docs: DataFrame, shards: int) -> DataFrame:
+    """Batches: a row of shard -1 with the texts as places in the batch's list of words, and rows of words for shards.
 
+    docs: id, train, text. Columns known and rows give the training tokens and rows of a batch.
+    """
+
+    def run(batches):
+        number = (TaskContext.get().partitionId()) << 32
         for batch in batches:
-            for t in batch.column(0):
-                seen.update(tokens(t.as_py()))
-                ends += 1
-                if len(seen) > 250_000:
-                    yield flush()
-                    seen.clear()
-        yield flush()
+            for a, b, texts in slices(batch.column("text"), BATCH):
+                dealt = [tokens(t) for t in texts]
+                every = [w for ws in dealt for w in ws]
+                words = {w: i for i, w in enumerate(dict.fromkeys(every))}
+                place = np.fromiter(map(words.__getitem__, every), dtype=np.int64, count=len(every))
+                lengths = np.fromiter(map(len, dealt), dtype=np.int64, count=len(dealt))
+                train = batch.column("train").slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) >> 1 for w in words), dtype=np.int64, count=len(words))
+                # words by hash: equal hashes are one word
+                distinct, at = np.unique(hashes, return_inverse=True)
+                place = at[place]
+                counts = np.bincount(place[np.repeat(train, lengths)], minlength=len(distinct))
+                ids = batch.column("id").slice(a, b - a)
+                known = np.array(ids.is_valid().to_numpy(zero_copy_only=False)).astype(np.uint8)
+                out = [pack(place=place, lengths=lengths, train=train.astype(np.uint8), valid=known, ids=ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))]
+                to = [-1]
+                shard = ((distinct >> 32) * shards) >> 31
+                edges = np.searchsorted(shard, np.arange(shards + 1))
+                for s in np.unique(shard).tolist():
+                    part = slice(edges[s], edges[s + 1])
+                    out.append(pack(steps=np.diff(distinct[part], prepend=0), counts=counts[part]))
+                    to.append(s)
+                first = np.arange(len(to)) == 0
+                rows = _row([number] * len(to), to, out)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.where(first, counts.sum(), 0)), pa.array(np.where(first, train.sum(), 0))], names=["batch", "shard", "data", "tokens", "rows"])
+                number += 1
+        release()
+
+    return docs.mapInArrow(run, _ROW + ", tokens bigint, rows bigint")
+
+
+def _word_shards(messages: DataFrame, shards: int) -> DataFrame:
+    """Ids and counts for each message's words, in its order; and the number of words of each shard, in column words."""
+
+    def run(batches):
+        for shard, rows in _groups(batches, "shard"):
+            parts = [(o, unpack(d)) for o, d in rows]
+            keys = [p["steps"].cumsum() for _, p in parts]
+            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(at, np.concatenate([p["counts"] for _, p in parts]), len(distinct)).astype(np.int64)
+            rank = np.empty(len(distinct), dtype=np.int64)
+            rank[np.lexsort((distinct, -total))] = np.arange(len(distinct))
+            ids = np.where(total > 0, _FIRST + rank * shards + shard, _UNKNOWN)
+            ends = np.cumsum([len(k) for k in keys])[:-1]
+            answers = [pack(ids=ids[i], counts=total[i]) for i in np.split(at, ends)]
+            out = _row([o for o, _ in rows], [shard] * len(rows), answers)
+            words = [int((total > 0).sum())] + [0] * (len(rows) - 1)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(words, pa.int64())], names=["batch", "shard", "data", "words"])
+        release()
+
+    return _dealt(messages, shards).mapInArrow(run, _ROW + ", words bigint")
+
+
+def _dealt(messages: DataFrame, shards: int) -> DataFrame:
+    """A partition for each shard."""
+    rows = messages.select("batch", "shard", "data")
+    return rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "batch")
+
+
+def _by_batch(rows: DataFrame, answers: DataFrame, partitions: int) -> DataFrame:
+    """Batches, each in its own row (shard -1) and then the answers to it by shard."""
+    both = rows.select("batch", "shard", "data").unionByName(answers.select("batch", "shard", "data"))
+    return both.repartition(partitions, "batch").sortWithinPartitions("batch", "shard")
+
+
+def _with_ids(rows: DataFrame) -> DataFrame:
+    """Batches whose words have ids and counts, in the order of ids."""
+
+    def run(batches):
+        for batch, ((_, data), *answers) in _groups(batches, "batch"):
+            x = unpack(data)
+            got = [unpack(d) for _, d in answers]
+            ids, counts = (np.concatenate([g[k] for g in got]) for k in ("ids", "counts"))
+            distinct, first, at = np.unique(ids, return_index=True, return_inverse=True)
+            yield _row([batch], [-1], [pack(**x | {"place": at[x["place"]], "steps": np.diff(distinct, prepend=0), "counts": counts[first]})])
+        release()
+
+    return rows.mapInArrow(run, _ROW)
+
+
+class _Grams:
+    """The distinct pairs and triples of a batch, as ids and by shard."""
+
+    def __init__(self, data: bytes, shards: int):
+        x = unpack(data)
+        self.ids, self.counts = x["steps"].cumsum(), x["counts"]
+        self.doc, self.valid, self.lengths, v = x["ids"], x["valid"].astype(bool), x["lengths"], x["place"]
+        self.v, self.starts = v, np.concatenate([[0], self.lengths.cumsum()[:-1]]).astype(np.int64)
+        n = len(self.ids) + 1  # the place behind the words stands for the text's begin
+        train = np.repeat(x["train"].astype(bool), self.lengths)
+        self.u = np.concatenate([[n - 1], v[:-1]])
+        self.u[self.starts] = n - 1
+        pairs, self.at2 = np.unique(self.u * n + v, return_inverse=True)
+        before = np.concatenate([[0], self.at2[:-1] + 1])
+        before[self.starts] = 0  # the context of a first token
+        triples, self.at3 = np.unique(before * n + v, return_inverse=True)
+        names = np.append(self.ids, _BEGIN)
+        self.two = [names[pairs // n], names[pairs % n]]
+        context = np.concatenate([[n * n - 1], pairs])[triples // n]
+        self.three = [names[context // n], names[context % n], names[triples % n]]
+        self.sides = []
+        for columns, at in ((self.two, self.at2), (self.three, self.at3)):
+            shard = _mixed(*columns) % shards
+            order = np.lexsort([*columns[::-1], shard])
+            self.sides.append((order, np.bincount(at[train], minlength=len(shard))[order], np.searchsorted(shard[order], np.arange(shards + 1))))
+
+
+def _messages(batches: DataFrame, shards: int) -> DataFrame:
+    def run(rows):
+        for b in rows:
+            for batch, data in zip(b.column("batch").to_pylist(), b.column("data").to_pylist(), strict=True):
+                g = _Grams(data, shards)
+                (o2, n2, e2), (o3, n3, e3) = g.sides
+                two, three = [x[o2] for x in g.two], [x[o3] for x in g.three]
+                to, out = [], []
+                for s in range(shards):
+                    p, q = slice(e2[s], e2[s + 1]), slice(e3[s], e3[s + 1])
+                    if p.stop > p.start or q.stop > q.start:
+                        (a, b_), (ta, tb, tc) = _steps(*(x[p] for x in two)), _steps(*(x[q] for x in three))
+                        out.append(pack(a=a, b=b_, n=n2[p], ta=ta, tb=tb, tc=tc, tn=n3[q]))
+                        to.append(s)
+                yield _row([batch] * len(to), to, out)
+        release()
+
+    return batches.mapInArrow(run, _ROW)
+
+
+def _trie_shards(messages: DataFrame, shards: int, total: int) -> DataFrame:
+    """Codes for each message's pairs and triples, in its order, from the trie of the shard."""
+
+    def run(batches):
+        for shard, rows in _groups(batches, "shard"):
+            parts = [unpack(d) for _, d in rows]
+            two = [_unsteps(p["a"], p["b"]) for p in parts]
+            three = [_unsteps(p["ta"], p["tb"], p["tc"]) for p in parts]
+            joined = lambda xs: [np.concatenate(x) for x in zip(*xs, strict=True)]
+            pairs, n2 = _added(joined(two), np.concatenate([p["n"] for p in parts]))
+            triples, n3 = _added(joined(three), np.concatenate([p["tn"] for p in parts]))
+            trie = Trie(Trie.build(pairs, codes(n2, total), triples, codes(n3, total)))
+            del parts, pairs, triples
+            for (batch, _), x, y in zip(rows, two, three, strict=True):
+                yield _row([batch], [shard], [pack(two=trie.pairs(*x), three=trie.triples(*y))])
         release()
-        if ends:
-            yield pa.RecordBatch.from_arrays([pa.array([_END], pa.int64()), pa.array([ends], pa.int64())], names=["key", "n"])
-
-    return docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class _Ids:
-    """Ids of words, remembered while they are few."""
-
-    def __init__(self, words: Words):
-        self.words, self.known = words, {}
-
-    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words of texts, and the number of words of each."""
-        dealt = [tokens(t) for t in texts]
-        if len(self.known) > 200_000:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in dealt for w in ws if w not in known})
-        if new:
-            keys = np.fromiter((xxhash.xxh3_64_intdigest(w) >> 1 for w in new), dtype=np.int64, count=len(new))
-            order = np.argsort(keys)
-            ids = np.empty(len(new), dtype=np.int64)
-            ids[order] = self.words.ids(keys[order])
-            known.update(zip(new, ids.tolist(), strict=True))
-        lengths = np.array([len(ws) for ws in dealt], dtype=np.int64)
-        return np.fromiter((known[w] for ws in dealt for w in ws), dtype=np.int64, count=int(lengths.sum())), lengths
-
-
-def _with_ends(ids: np.ndarray, lengths: np.ndarray, end: int, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts and tokens of the texts, each closed by its end, and where each text starts."""
-    starts = np.concatenate([[0], (lengths + 1).cumsum()])
-    v = np.empty(int(starts[-1]), dtype=np.int64)
-    inner = np.ones(len(v), dtype=bool)
-    inner[starts[1:] - 1] = False
-    v[inner], v[~inner] = ids, end
-    u = np.concatenate([[begin], v[:-1]])
-    u[starts[:-1]] = begin
-    return u, v, starts[:-1]
-
-
-class Model:
-    def __init__(self, docs: DataFrame, most_bytes: int = MOST_BYTES):
-        """Train on the rows of docs (a column text)."""
-        spark = docs.sparkSession
-        docs = docs.select(F.col("text").cast("string").alias("text"))
-        counted = materialize(_count_words(docs))
-        n, total = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-        rows = counted.where(F.col("key") == _END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        self.stats = stats = {"words": n, "tokens": total, "rows": rows}
-
-        def word_shard(batches):
-            import json
-
-            cols = [np.concatenate(x) for x in zip(*((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches), strict=True)]
-            if cols and len(cols[0]):
-                parts, meta = Words.build(*cols)
-                data, where = _pack(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([meta["first"]], pa.int64()), pa.array([json.dumps(meta | {"where": where})]), pa.array([data], pa.binary())], names=["first", "meta", "data"])
-
-        shard = "first bigint, meta string, data binary"
-        count = lambda n: max(1, math.ceil(n / SHARD))
-        built = materialize(counted.repartitionByRange(count(n), "key").sortWithinPartitions("key").mapInArrow(word_shard, shard))
-        self.words_path, self.words_shards = path1, shards1 = _write(built, "words", most_bytes)
-        discard(counted, built)
-        if shards1:
-            spark.sparkContext.addFile(path1)
-        self.end = end = self._end(spark)
-        counted = materialize(self._count_pairs(docs))
-        n2 = counted.count()
-
-        def pair_shard(batches):
-            import json
-
-            cols = [np.concatenate(x) for x in zip(*((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches), strict=True)]
-            if cols and len(cols[0]):
-                parts, meta = Pairs.build(cols[0] >> 32, cols[0] & 0xFFFFFFFF, cols[1], _mapped(Words, path1, shards1), stats)
-                data, where = _pack(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([meta["first"]], pa.int64()), pa.array([json.dumps(meta | {"where": where})]), pa.array([data], pa.binary())], names=["first", "meta", "data"])
-
-        # a context isn't split: it has at most a successor for each word
-        built = materialize(counted.withColumn("u", F.shiftright("key", 32)).repartitionByRange(count(n2), "u").sortWithinPartitions("key").select("key", "n").mapInArrow(pair_shard, shard))
-        used = sum(s["n"] for s in shards1)
-        self.pairs_path, self.pairs_shards = _write(built, "pairs", most_bytes - used)
-        discard(counted, built)
-        if self.pairs_shards:
-            spark.sparkContext.addFile(self.pairs_path)
-        assert end == self.end
-
-    def _end(self, spark: SparkSession) -> int:
-        """The id of the end, looked up where the level is mapped."""
-        path, shards = self.words_path, self.words_shards
-
-        def run(batches):
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(_mapped(Words, path, shards).ids(np.full(b.num_rows, _END, dtype=np.int64)))], names=["id"])
-
-        return spark.range(1, numPartitions=1).mapInArrow(run, "id bigint").first()[0]
-
-    def _count_pairs(self, docs: DataFrame) -> DataFrame:
-        """key (context << 32 | token), n of all pairs, added up by task before the shuffle."""
-        path, shards, end, begin = self.words_path, self.words_shards, self.end, self.stats["words"]
-        if begin >= 2**31:
-            raise ValueError("ids take 31 bits")
-
-        def run(batches):
-            ids, waiting, size = _Ids(_mapped(Words, path, shards)), [], 0
-
-            def flush():
-                keys, n = np.unique(np.concatenate(waiting), return_counts=True)
-                return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64())], names=["key", "n"])
-
-            for batch in batches:
-                for _, _, texts in slices(batch.column(0)):
-                    u, v, _ = _with_ends(*ids(texts), end, begin)
-                    waiting.append(u << 32 | v)
-                    size += len(u)
-                    if size > 3_000_000:
-                        yield flush()
-                        waiting, size = [], 0
-            if waiting:
-                yield flush()
-            release()
-
-        return docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-    def score(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """key, n_tokens, n_known, base_score, score of each row."""
-        stats, end = self.stats, self.end
-        paths = ((Words, self.words_path, self.words_shards), (Pairs, self.pairs_path, self.pairs_shards))
-
-        def run(batches):
-            words, pairs = (_mapped(*p) for p in paths)
-            ids = _Ids(words)
-            for batch in batches:
-                for a, b, texts in slices(batch.column(1)):
-                    u, v, starts = _with_ends(*ids(texts), end, stats["words"])
-                    unknown = stats["words"] + 1
-                    u[u < 0] = unknown
-                    seen = np.where(v < 0, unknown, v)
-                    alone, where = np.unique(seen, return_inverse=True)
-                    count = words.counts(np.where(alone == unknown, -1, alone))
-                    base = unigram(count, stats)[where]
-                    keys, back_at = np.unique(u << 32 | seen, return_inverse=True)
-                    stored, back = pairs.log10(keys >> 32, keys & 0xFFFFFFFF)
-                    full = np.where(np.isnan(stored[back_at]), back[back_at] + base, stored[back_at])
-                    sums = [np.add.reduceat(x, starts) for x in (np.ones(len(v), np.int64), (count > 0)[where].astype(np.int64), base, full)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, sums)], names=["id", "n_tokens", "n_known", "base_score", "score"])
-            release()
-
-        d = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-        return d.mapInArrow(run, "id bigint, n_tokens bigint, n_known bigint, base_score double, score double").withColumnRenamed("id", key)
-
-
-def op9_bigram_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+    return _dealt(messages, shards).mapInArrow(run, _ROW)
+
+
+def _scores(rows: DataFrame, shards: int, stats: dict) -> DataFrame:
+    total, words, begins = stats["tokens"], stats["words"], stats["rows"]
+
+    def run(batches):
+        value = counts_of(total)
+        for _, ((_, data), *answers) in _groups(batches, "batch"):
+            g = _Grams(data, shards)
+            got = [unpack(d) for _, d in answers]
+            c2, c3 = (np.empty(len(order)) for order, _, _ in g.sides)
+            for c, k, (order, _, _) in zip((c2, c3), ("two", "three"), g.sides, strict=True):
+                c[order] = value[np.concatenate([x[k] for x in got])]
+            alone = np.append(g.counts, begins).astype(float)
+            base = np.log10((g.counts + ADDED) / (total + ADDED * (words + 1)))[g.v]
+            context = alone[g.u]
+            pair = c2[g.at2]
+            p2 = (np.minimum(pair, context) + MU2 * 10**base) / (context + MU2)
+            context = np.concatenate([[0.0], pair[:-1]])
+            context[g.starts] = begins
+            p3 = np.log10((np.minimum(c3[g.at3], context) + MU3 * p2) / (context + MU3))
+            sums = [np.add.reduceat(x, g.starts) for x in (np.ones(len(g.v), np.int64), (g.counts > 0)[g.v].astype(np.int64), base, p3)]
+            yield pa.RecordBatch.from_arrays([pa.array(g.doc, mask=~g.valid), *map(pa.array, sums)], names=["id", "n_tokens", "n_known", "base_score", "score"])
+        release()
+
+    return rows.mapInArrow(run, "id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+
+
+def learn_and_score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict]:
+    """key, n_tokens, n_known, base_score, score of all rows by a model of the rows where train holds; and the model's size.
+
+    Other rows than those to learn from can be joined to them: what train leaves out is scored and not learnt.
+    """
+    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).cast("string").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, math.ceil(size / SHARD))
+    first = materialize(_tokenised(rows, shards))
+    stats = first.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first().asDict()
+    answers = materialize(_word_shards(first.where("shard >= 0"), shards))
+    stats["words"] = answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    batches = materialize(_with_ids(_by_batch(first.where("shard < 0"), answers, shards)))
+    discard(first, answers)
+    grams = _trie_shards(_messages(batches, shards), shards, stats["tokens"])
+    return _scores(_by_batch(batches, grams, shards), shards, stats).withColumnRenamed("id", key), stats
+
+
+def op9_ngram_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold(F.col("doc_id"), FOLDS) == 0
-    model = Model(docs.where(~held_out))
-    out = model.score(docs)
-    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.stats["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score")
+    out, stats = learn_and_score(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(stats["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def brute(rows: list[tuple]) -> dict:
-    """doc_id to held_out, n_tokens, n_known, train_tokens, base_score, unquantised score, from rows (doc_id, text) with distinct ids."""
+    """doc_id to held_out, n_tokens, n_known, train_tokens, base_score, score by uncoded counts, from rows (doc_id, text) with distinct ids."""
     import zlib
 
     held = {d: zlib.crc32(str(d).encode()) % FOLDS == 0 for d, _ in rows}
-    texts = {d: [*tokens(t), b"\n"] for d, t in rows}
-    c = Counter(w for d, ws in texts.items() if not held[d] for w in ws)
-    pair = Counter((u, v) for d, ws in texts.items() if not held[d] for u, v in zip([None, *ws], ws, strict=False))
-    kept: dict = {}
-    for (u, _), n in pair.items():
-        kept[u] = kept.get(u, 0) + n - DISCOUNT
+    texts = {d: tokens(t) for d, t in rows}
+    learnt = [ws for d, ws in texts.items() if not held[d]]
+    c = Counter(w for ws in learnt for w in ws)
+    pair = Counter(p for ws in learnt for p in zip([None, *ws], ws, strict=False))
+    triple = Counter(p for ws in learnt for p in zip([None, None, *ws], [None, *ws], ws, strict=False))
     total = sum(c.values())
     whole = total + ADDED * (len(c) + 1)
     out = {}
     for d, ws in texts.items():
         base = full = 0.0
-        for u, v in zip([None, *ws], ws, strict=False):
+        for t, u, v in zip([None, None, *ws], [None, *ws], ws, strict=False):
             p = (c[v] + ADDED) / whole
-            n = c[b"\n"] if u is None else c[u]
-            rest = max((n - kept.get(u, 0)) / n, 1e-7) if n else 1
             base += math.log10(p)
-            full += math.log10(((pair[u, v] - DISCOUNT) / n if (u, v) in pair else 0) + rest * p)
+            p = (pair[u, v] + MU2 * p) / ((len(learnt) if u is None else c[u]) + MU2)
+            full += math.log10((triple[t, u, v] + MU3 * p) / ((len(learnt) if u is None else pair[t, u]) + MU3))
         out[d] = (held[d], len(ws), sum(c[w] > 0 for w in ws), total, base, full)
     return out
