@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +44,7 @@ ADDED = 0.1
 #: Weights of the shorter context's probability, in tokens; of a few tried, these gave held-out rows of a small table the highest probability.
 MU2, MU3 = 300.0, 3.0
 #: Bytes of text in a batch, and in the share of a shard, about.
-BATCH, SHARD = 2_000_000, 8_000_000
+BATCH, SHARD = 4_000_000, 8_000_000
 
 _END = b"\n"  # no word: words hold no white space
 #: Ids before those of words: what stands before a text, and words that training rows lack.
@@ -120,23 +120,28 @@ class EliasFano:
     @staticmethod
     def build(values: np.ndarray) -> dict[str, np.ndarray]:
         n = len(values)
-        low = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
-        bits = np.empty((n, low), dtype=np.uint8)
-        for j in range(low):
-            bits[:, j] = (values >> j) & 1
-        at = (values >> low) + np.arange(n)
+        width = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
+        at = (values >> width) + np.arange(n)
         high = np.zeros(int(at[-1]) + 1 if n else 0, dtype=np.uint8)
         high[at] = 1
-        return {"low": np.packbits(bits.reshape(-1), bitorder="little"), "high": np.packbits(high, bitorder="little"), "size": np.array([n, low])}
+        # whole bytes of the low bits as planes, the rest bit by bit
+        low = [(values >> j).astype(np.uint8) for j in range(0, width - 7, 8)]
+        rest = np.empty((n, width % 8), dtype=np.uint8)
+        for j in range(width % 8):
+            rest[:, j] = (values >> (width - width % 8 + j)) & 1
+        low.append(np.packbits(rest.reshape(-1), bitorder="little"))
+        return {"low": np.concatenate(low), "high": np.packbits(high, bitorder="little"), "size": np.array([n, width])}
 
     @staticmethod
     def read(low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
         """All values: a shard's queries come by the thousand, so its sequences are read once for all of them."""
         n, width = (int(x) for x in size)
         out = (np.flatnonzero(np.unpackbits(high, bitorder="little"))[:n] - np.arange(n)) << width
-        bits = np.unpackbits(low, count=n * width, bitorder="little").reshape(n, width)
-        for j in range(width):
-            out |= bits[:, j].astype(np.int64) << j
+        for j in range(width // 8):
+            out |= low[j * n : (j + 1) * n].astype(np.int64) << (8 * j)
+        rest = np.unpackbits(low[width // 8 * n :], count=n * (width % 8), bitorder="little").reshape(n, width % 8)
+        for j in range(width % 8):
+            out |= rest[:, j].astype(np.int64) << (width - width % 8 + j)
         return out
 
 
@@ -314,7 +319,8 @@ def _tokenised(docs: DataFrame, shards: int) -> DataFrame:
             for a, b, texts in slices(batch.column("text"), BATCH):
                 dealt = [tokens(t) for t in texts]
                 every = [w for ws in dealt for w in ws]
-                words = {w: i for i, w in enumerate(dict.fromkeys(every))}
+                words: defaultdict = defaultdict()
+                words.default_factory = words.__len__  # a new word's place is behind the others
                 place = np.fromiter(map(words.__getitem__, every), dtype=np.int64, count=len(every))
                 lengths = np.fromiter(map(len, dealt), dtype=np.int64, count=len(dealt))
                 train = batch.column("train").slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
@@ -398,24 +404,30 @@ class _Grams:
         x = unpack(data)
         self.ids, self.counts = x["steps"].cumsum(), x["counts"]
         self.doc, self.valid, self.lengths, v = x["ids"], x["valid"].astype(bool), x["lengths"], x["place"]
-        self.v, self.starts = v, np.concatenate([[0], self.lengths.cumsum()[:-1]]).astype(np.int64)
-        n = len(self.ids) + 1  # the place behind the words stands for the text's begin
+        self.starts = np.concatenate([[0], self.lengths.cumsum()[:-1]]).astype(np.int64)
+        v = v + 1  # place 0 stands for the text's begin, so that places are in the order of ids
+        n = len(self.ids) + 1
         train = np.repeat(x["train"].astype(bool), self.lengths)
-        self.u = np.concatenate([[n - 1], v[:-1]])
-        self.u[self.starts] = n - 1
-        pairs, self.at2 = np.unique(self.u * n + v, return_inverse=True)
-        before = np.concatenate([[0], self.at2[:-1] + 1])
+        u = np.empty_like(v)
+        u[1:] = v[:-1]
+        u[self.starts] = 0
+        self.u, self.v = u, v
+        pairs, self.at2 = np.unique(u * n + v, return_inverse=True)
+        before = np.empty_like(v)
+        before[1:] = self.at2[:-1] + 1
         before[self.starts] = 0  # the context of a first token
         triples, self.at3 = np.unique(before * n + v, return_inverse=True)
-        names = np.append(self.ids, _BEGIN)
-        self.two = [names[pairs // n], names[pairs % n]]
-        context = np.concatenate([[n * n - 1], pairs])[triples // n]
-        self.three = [names[context // n], names[context % n], names[triples % n]]
+        names = np.append(_BEGIN, self.ids)
+        first, second = np.divmod(pairs, n)
+        self.two = [names[first], names[second]]
+        context, last = np.divmod(triples, n)
+        self.three = [np.append(_BEGIN, self.two[0])[context], np.append(_BEGIN, self.two[1])[context], names[last]]
         self.sides = []
         for columns, at in ((self.two, self.at2), (self.three, self.at3)):
             shard = _mixed(*columns) % shards
-            order = np.lexsort([*columns[::-1], shard])
-            self.sides.append((order, np.bincount(at[train], minlength=len(shard))[order], np.searchsorted(shard[order], np.arange(shards + 1))))
+            order = np.argsort(shard.astype(np.uint16 if shards < 2**16 else np.int64), kind="stable")
+            counts = np.bincount(at[train], minlength=len(shard))
+            self.sides.append((order, counts[order], np.searchsorted(shard[order], np.arange(shards + 1))))
 
 
 def _messages(batches: DataFrame, shards: int) -> DataFrame:
@@ -469,15 +481,15 @@ def _scores(rows: DataFrame, shards: int, stats: dict) -> DataFrame:
             c2, c3 = (np.empty(len(order)) for order, _, _ in g.sides)
             for c, k, (order, _, _) in zip((c2, c3), ("two", "three"), g.sides, strict=True):
                 c[order] = value[np.concatenate([x[k] for x in got])]
-            alone = np.append(g.counts, begins).astype(float)
-            base = np.log10((g.counts + ADDED) / (total + ADDED * (words + 1)))[g.v]
+            alone = np.append(begins, g.counts).astype(float)
+            base = np.log10((alone + ADDED) / (total + ADDED * (words + 1)))[g.v]
             context = alone[g.u]
             pair = c2[g.at2]
             p2 = (np.minimum(pair, context) + MU2 * 10**base) / (context + MU2)
             context = np.concatenate([[0.0], pair[:-1]])
             context[g.starts] = begins
             p3 = np.log10((np.minimum(c3[g.at3], context) + MU3 * p2) / (context + MU3))
-            sums = [np.add.reduceat(x, g.starts) for x in (np.ones(len(g.v), np.int64), (g.counts > 0)[g.v].astype(np.int64), base, p3)]
+            sums = [np.add.reduceat(x, g.starts) for x in (np.ones(len(g.v), np.int64), (alone > 0)[g.v].astype(np.int64), base, p3)]
             yield pa.RecordBatch.from_arrays([pa.array(g.doc, mask=~g.valid), *map(pa.array, sums)], names=["id", "n_tokens", "n_known", "base_score", "score"])
         release()
 
