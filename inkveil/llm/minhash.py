@@ -5,14 +5,22 @@ a token. Two classes of similarity 0.8 share at least MATCHES of their tokens (a
 fewer above), so they share one of the COORDINATES - MATCHES + 1 rarest tokens of either: only those are posted, and
 tokens of one class are not. Long lists of common shingles are skipped that way.
 
+A class is named by 64 bits of its set's hash; sets that share a name but not a second hash get names of their own, so that 128
+bits would have to agree for two sets to be taken for one.
+
 In a list, all members are paired with the least first; collisions over whole signatures are counted, pairs with
 MATCHES or more are confirmed on full shingle sets, and components are formed. Lists whose members lie in more than
 one component are then searched, in blocks, for pairs across components, each in the first list that it shares; pairs
 with MATCHES or more whose sketches allow the similarity are confirmed in turn. Links inside a component don't change
-it, so nothing is lost, and a group of n copies costs about n pairs and not n * n.
+it, so nothing is lost, and a group of n copies costs about n pairs and not n * n. Lists of more than a block are thinned
+first: a class that has over a fifth of its shingles to itself among all members of such lists is like none of them. So texts
+that share a long passage and nothing else are not compared, however many they are.
+
+An infinite `errors` confirms every pair with `matches` equal places, whatever its sketches say.
 
 Edge cases: null text counts as empty; texts without words have no shingles and link with nothing; texts of fewer
-words than a shingle are one shingle; repeated rows are rows of one class; a null doc_id is linked like others, and
+words than a shingle are one shingle; whole texts are read, whatever their length, and their sets are held in memory one at
+a time, or two to confirm a link; a similarity of just 0.8 links; repeated rows are rows of one class; a null doc_id is linked like others, and
 the least doc_id of a component is that of those that aren't null; an empty table gives an empty result; further
 columns are kept by one_of_each and ignored elsewhere.
 """
@@ -90,7 +98,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return (s[:SKETCH] >> np.uint64(32)).astype(np.uint32)
 
 
-_BASE = "doc_id bigint, content bigint, n_shingles bigint, class bigint, signature binary, sketch binary"
+_BASE = "doc_id bigint, content bigint, n_shingles bigint, class bigint, check bigint, signature binary, sketch binary"
 
 
 def _content(text: Column) -> Column:
@@ -101,16 +109,17 @@ def _content(text: Column) -> Column:
 def _sketch(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            n, cls, sig, least = [], [], [], []
+            n, cls, check, sig, least = [], [], [], [], []
             for t in batch.column(2):
                 s = shingles(t.as_py(), k)
                 n.append(len(s))
                 cls.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
+                check.append(xxhash.xxh3_64_intdigest(s.tobytes(), 1) - 2**63 if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
                 least.append(sketch(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), pa.array(least, pa.binary())],
-                names=["doc_id", "content", "n_shingles", "class", "signature", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.array(sig, pa.binary()), pa.array(least, pa.binary())],
+                names=["doc_id", "content", "n_shingles", "class", "check", "signature", "sketch"],
             )
         release()
 
@@ -154,7 +163,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return p.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _alike(mine: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _alike(mine: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, errors: float) -> tuple[np.ndarray, np.ndarray]:
     """For a sketch against rows of sketches (padded with _PAD): whether the similarity is possible, and known exactly.
 
     Below the least of the sketches' ends, where they are cut, both are complete, so the share of common hashes there is
@@ -168,15 +177,17 @@ def _alike(mine: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray) -
     both = ((mine[at] == others) & inside).sum(axis=1)
     union = np.searchsorted(mine, end, side="right") + inside.sum(axis=1) - both
     exact = (sizes <= SKETCH) & (size <= SKETCH)
+    if errors == np.inf:
+        return ~exact | (100 * both >= union * LEAST), exact
     whole = (sizes + size) / (1 + LEAST / 100)
     spread = np.sqrt(LEAST / 100 * (1 - LEAST / 100) / union * np.clip(1 - union / whole, 0, 1))
-    return 100 * both >= union * np.where(exact, LEAST, LEAST - 100 * ERRORS * spread - 1e-9), exact
+    return 100 * both >= union * np.where(exact, LEAST, LEAST - 100 * errors * spread - 1e-9), exact
 
 
 _PAD = 2**32
 
 
-def _across(lists: DataFrame, matches: int, block: int) -> DataFrame:
+def _across(lists: DataFrame, matches: int, block: int, errors: float) -> DataFrame:
     """Pairs of different components that share a list, `matches` places and enough of their sketches.
 
     lists: token, posted (bits of the coordinates that a class is posted under), class, component, n, signature, sketch. A
@@ -217,7 +228,7 @@ def _across(lists: DataFrame, matches: int, block: int) -> DataFrame:
             at = at[here]
             if not len(at):
                 continue
-            like, exact = _alike(least[i], n[i], padded[at], n[at])
+            like, exact = _alike(least[i], n[i], padded[at], n[at], errors)
             for k, sure in zip(at[like].tolist(), exact[like].tolist(), strict=True):
                 a, b = root(comp[i]), root(comp[k])
                 if a != b:
@@ -250,13 +261,51 @@ def _few(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= MOST_KEYS else df
 
 
-def group(docs: DataFrame, k: int = WORDS, block: int = BLOCK, matches: int = MATCHES) -> DataFrame:
+def _classes(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """base, and its classes: class, doc_id and content of one row, n_shingles, signature, sketch."""
+    while True:
+        same = base.where("class is not null").groupBy("class").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "content")).alias("c"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"),
+            (F.min("check") < F.max("check")).alias("mixed"),
+        )
+        same = materialize(same.select("class", F.col("c.doc_id").alias("doc_id"), F.col("c.content").alias("content"), "n_shingles", "signature", "sketch", "mixed"))
+        mixed = same.where("mixed").select("class", "mixed")
+        n = mixed.count()
+        if not n:
+            return base, same.drop("mixed")
+        marked = base.join(_few(mixed, n), "class", "left")
+        renamed = materialize(marked.withColumn("class", F.when(F.col("mixed"), F.xxhash64("class", "check")).otherwise(F.col("class"))).select(*base.columns))
+        discard(base, same)
+        base = renamed
+
+
+def _thinned(lists: DataFrame, docs: DataFrame, classes: DataFrame, k: int, block: int) -> DataFrame:
+    """lists (token, posted, class, component) without members of long lists that can't be like any other of those."""
+    long = materialize(lists.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where((F.col("n") > block) & (F.col("lo") != F.col("hi"))).select("token"))
+    n = long.count()
+    if not n:
+        return lists
+    hot = lists.join(_few(long, n), "token", "left_semi")
+    crowd = hot.select("class").distinct()
+
+    def run(batches):
+        for batch in batches:
+            for c, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingles(t.as_py(), k).view(np.int64)
+                for at in range(0, len(s), 50_000):
+                    part = pa.array(s[at : at + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), c)), part], names=["class", "shingle"])
+        release()
+
+    held = _texts_of(docs, classes, crowd).mapInArrow(run, "class bigint, shingle bigint")
+    own = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1").groupBy("class").agg(F.count("*").alias("own"))
+    apart = materialize(own.join(classes.select("class", "n_shingles"), "class").where(100 * (F.col("n_shingles") - F.col("own")) < LEAST * F.col("n_shingles")).select("class"))
+    return lists.join(_few(long, n), "token", "left_anti").unionByName(hot.join(_few(apart, apart.count()), "class", "left_anti"))
+
+
+def group(docs: DataFrame, k: int = WORDS, block: int = BLOCK, matches: int = MATCHES, errors: float = ERRORS) -> DataFrame:
     """doc_id, content, n_shingles, component (a long, null without shingles), component_id, confirmed_links (of its class, not all it has)."""
-    base = materialize(_sketch(docs, k))
-    classes = materialize(
-        base.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "content")).alias("c"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
-        .select("class", F.col("c.doc_id").alias("doc_id"), F.col("c.content").alias("content"), "n_shingles", "signature", "sketch")
-    )
+    base, classes = _classes(materialize(_sketch(docs, k)))
     tokens = _tokens(classes)
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     kept = COORDINATES - matches + 1
@@ -271,15 +320,15 @@ def group(docs: DataFrame, k: int = WORDS, block: int = BLOCK, matches: int = MA
     texts = materialize(_texts(docs, classes, first))
     links = materialize(_confirm(first, texts, k))
     labels = materialize(components(links))
-    lists = posts.join(labels.withColumnRenamed("id", "class"), "class", "left").join(classes.select("class", F.col("n_shingles").alias("n"), "signature", "sketch"), "class")
-    lists = lists.select("token", "posted", "class", F.coalesce("component", "class").alias("component"), "n", "signature", "sketch")
-    second = materialize(_across(lists, matches, block).join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    placed = materialize(posts.join(labels.withColumnRenamed("id", "class"), "class", "left").select("token", "posted", "class", F.coalesce("component", "class").alias("component")))
+    lists = _thinned(placed, docs, classes, k, block).join(classes.select("class", F.col("n_shingles").alias("n"), "signature", "sketch"), "class")
+    second = materialize(_across(lists, matches, block, errors).join(first, ["a", "b"], "left_anti").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
     if not second.isEmpty():
         more_texts = materialize(_texts(docs, classes, second))
         links = materialize(links.unionByName(_confirm(second, more_texts, k)))
         labels = materialize(components(links))
         discard(more_texts)
-    discard(texts, posts, second, first)
+    discard(texts, posts, placed, second, first)
     degree = links.select("a", "b").unionByName(links.select("b", "a").toDF("a", "b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "class")
     of = classes.select("class", "doc_id").join(labels.withColumnRenamed("id", "class"), "class", "left").join(degree, "class", "left")
     of = of.select("class", "doc_id", F.coalesce("component", "class").alias("component"), F.coalesce("links", F.lit(0)).alias("confirmed_links"))
@@ -298,7 +347,11 @@ def _tokens(classes: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """class, text of the classes in pairs."""
-    ids = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    return _texts_of(docs, classes, pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct())
+
+
+def _texts_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """class, text of the classes in ids."""
     wanted = materialize(classes.select("class", F.col("doc_id").alias("d2"), F.col("content").alias("c2")).join(ids, "class"))
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _content(F.col("text")).alias("content"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = d.join(_few(wanted, wanted.count()), (F.col("content") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("d2")))
@@ -331,14 +384,25 @@ def op1_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "confirmed_links")
 
 
-def brute(rows: list[tuple]) -> dict:
-    """doc_id to (n_shingles, component_id, kept) from rows (doc_id, text) with distinct ids."""
+def _sets(rows: list[tuple]) -> dict:
     import re
 
     sets = {}
     for d, t in rows:
         w = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
         sets[d] = {tuple(w[i : i + WORDS]) for i in range(max(len(w) - WORDS + 1, 1))} if w else set()
+    return sets
+
+
+def brute_pairs(rows: list[tuple]) -> dict:
+    """i to the similarity of the texts 2i and 2i + 1."""
+    sets = _sets(rows)
+    return {i: len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(len(rows) // 2)}
+
+
+def brute(rows: list[tuple]) -> dict:
+    """doc_id to (n_shingles, component_id, kept) from rows (doc_id, text) with distinct ids."""
+    sets = _sets(rows)
     parent = {d: d for d in sets}
 
     def find(d):

@@ -69,3 +69,47 @@ def test_components_of_chains_and_stars(spark):
     want = {i: -9 for i in [-9, *range(100, 161)]} | {i: 5 for i in [5, *range(200, 400)]} | {1000: 1000, 1001: 1000}
     assert got == want
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_links_near_the_threshold_are_found(spark):
+    """Recall of links of similarity 0.8 to 0.85, by brute force: a pair is missed with a chance of 3 in 100,000 at most."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        words = [f"w{rng.random()}" for _ in range(400)]
+        other = list(words)
+        for at in rng.sample(range(10, 390, 5), rng.choice([9, 10, 11, 12])):
+            other[at] = f"x{rng.random()}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    want = minhash.brute_pairs(rows)
+    linked = [i for i in range(400) if want[i] >= 0.8]
+    assert 200 < len(linked) < 380 and max(want.values()) < 0.85
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for errors in (minhash.ERRORS, float("inf")):
+        got = {r.doc_id: r.component_id for r in minhash.group(docs, errors=errors).collect()}
+        assert [i for i in range(400) if got[2 * i + 1] == 2 * i] == linked
+
+
+def test_texts_with_one_common_passage_are_not_compared(spark, monkeypatch):
+    """Compared rows grow with the texts, not with their square."""
+    passage = " ".join(f"p{i}" for i in range(100))
+    compared = []
+    across = minhash._across
+
+    def counted(lists, *rest):
+        compared.append(lists.count())
+        return across(lists, *rest)
+
+    monkeypatch.setattr(minhash, "_across", counted)
+    for n in (300, 600):
+        docs = spark.createDataFrame([(i, passage + " " + " ".join(f"{i}w{j}" for j in range(60))) for i in range(n)], "doc_id bigint, text string")
+        assert minhash.group(docs, block=64).where("component_id <> doc_id").count() == 0
+    assert compared[1] <= 2 * compared[0] + 64
+
+
+def test_sets_that_share_a_name_stay_apart(spark):
+    rows = [(i, 0, 5, 77, c, b"s", b"k") for i, c in ((1, 1), (2, 1), (3, 2))]
+    base = spark.createDataFrame([*rows, (4, 0, 0, None, None, None, None)], minhash._BASE)
+    renamed, classes = minhash._classes(minhash.materialize(base))
+    names = {r.doc_id: r["class"] for r in renamed.collect()}
+    assert names[1] == names[2] != names[3] and names[4] is None and classes.count() == 2
