@@ -1,30 +1,39 @@
 """Secret scans over an incremental ledger of blobs.
 
-Versions of texts are named by the SHA-256 of their content. A ledger says for each blob and rule version what was
-found; a scan looks only at blobs without an entry for the present version, once each, and joins the findings back
-to all rows that hold the blob.
-
-Edge cases: null text counts as empty; equal texts share one blob and one scan; rows and further columns of the
-input are kept; an empty table gives an empty result and ledger; offsets count code points.
+Versions of texts are named by the SHA-256 of their content. A rule belongs to the rule version that brought it, and a ledger
+has an entry for each pair of blob and rule version: the spans that the rules of that version found. A scan looks at each
+blob once, and only for the rule versions that the blob has no entry for; findings are joined back to all rows that hold
+the blob. The ledger's findings are broadcast up to MOST_HITS blobs; beyond, rows and findings are dealt by blob and salt,
+so that copies of one text, with findings or without, don't meet in one task.
+
+Edge cases: null text counts as empty; equal texts share one blob and one scan, whatever their number; whole texts are
+scanned, and time is linear in a text's length and findings; spans that start together are in the order of RULES; rows and
+further columns of the input are kept; an empty table gives an empty result and ledger; offsets count code points.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
+
+from inkveil.functions.text import settled
+from inkveil.operators.detect import candidates
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
-#: kind, pattern, group whose length counts, least length. The first three are the base kinds.
+#: kind, pattern, group whose length counts, least length, rule version. The first three are the base kinds.
 RULES = (
-    ("assign", r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
-    ("token", r"(?:gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ)[A-Za-z0-9_.-]+", 0, 24),
-    ("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("assign", r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6, 1),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20, 1),
+    ("hex", r"[0-9a-f]+", 0, 24, 1),
+    ("token", r"(?:gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ)[A-Za-z0-9_.-]+", 0, 24, 2),
+    ("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, 2),
 )
 BASE = ("assign", "access", "hex")
-RULE_VERSION = 1
+RULE_VERSION = 2
+#: Blobs with findings that a broadcast holds at most, a few hundred bytes each; salts of a blob beyond.
+MOST_HITS, SALTS = 200_000, 16
 #: Every finding of every rule needs a match of this.
 _NEEDED = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|-----BEGIN "
 
@@ -36,62 +45,51 @@ def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
-def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches that are long enough; what fails still uses up its text.
+def _spans(text: str, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
+    """Leftmost non-overlapping matches that are long enough; what fails still uses up its text."""
+    long = F.filter(candidates(text, pattern), lambda m: F.length(F.regexp_extract(m.raw, pattern, group)) >= least)
+    return F.transform(long, lambda m: F.struct(m.chars.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (m.chars + F.length(m.raw)).alias("end")))
 
-    Matches alternate with the pieces between them, so lengths add up to offsets.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rated = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.split(text, pattern, -1)
-    pieces = F.zip_with(
-        F.slice(gaps, 1, F.size(found)),
-        F.arrays_zip(found.alias("m"), rated.alias("r")),
-        lambda g, x: F.struct(F.length(g).alias("gap"), F.length(x["m"]).alias("n"), F.length(x["r"]).alias("rated")),
-    )
-    folded = F.aggregate(
-        pieces,
-        F.expr(f"named_struct('at', 0, 'out', cast(array() as {SPAN}))"),
-        lambda a, x: F.struct(
-            (a.at + x.gap + x.n).alias("at"),
-            F.when(
-                x.rated >= least,
-                F.concat(a.out, F.array(F.struct((a.at + x.gap).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (a.at + x.gap + x.n).alias("end")))),
-            )
-            .otherwise(a.out)
-            .alias("out"),
-        ),
-        lambda a: a.out,
-    )
-    return folded
 
-
-def _found(text: Column) -> Column:
-    """All spans, sorted by start, then kind in the order of RULES."""
-    return F.array_sort(F.concat(*(_spans(text, i, *rule) for i, rule in enumerate(RULES))))
+def _found(text: str, rule_version: int) -> Column:
+    """The spans of a version's rules, sorted by start, then kind in the order of RULES; null text isn't scanned."""
+    rules = [_spans(text, i, *rule) for i, (*rule, version) in enumerate(RULES) if version == rule_version]
+    none = F.array().cast(SPAN)
+    return F.when(F.col(text).rlike(_NEEDED), F.array_sort(F.concat(none, *rules))).otherwise(none).cast(SPAN)
 
 
 def unseen(docs: DataFrame, ledger: DataFrame | None, rule_version: int = RULE_VERSION) -> DataFrame:
-    """blob, text: each content once that has no entry of this rule version."""
+    """blob, text, versions: each content once, with the rule versions up to the given one that it has no entry for."""
     blobs = docs.select(blob_of(F.col("text")).alias("blob"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    return blobs.groupBy("blob").agg(F.first("text").alias("text"))
+    blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
+    every = F.array(*map(F.lit, range(1, rule_version + 1)))
+    if ledger is None:
+        return blobs.withColumn("versions", every)
+    seen = ledger.groupBy("blob").agg(F.collect_set("rule_version").alias("seen"))
+    missing = F.array_except(every, F.coalesce("seen", F.array().cast("array<int>")))
+    return blobs.join(seen, "blob", "left").select("blob", "text", missing.alias("versions")).where(F.size("versions") > 0)
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
-    """The ledger with entries for all contents of docs."""
+    """The ledger with entries for all contents of docs and all rule versions up to the given one."""
     new = unseen(docs, ledger, rule_version)
-    none = F.array().cast(SPAN)
-    new = new.select("blob", F.lit(rule_version).alias("rule_version"), F.when(F.col("text").rlike(_NEEDED), _found(F.col("text"))).otherwise(none).alias("spans"))
+    entry = lambda v: F.when(F.array_contains("versions", v), F.struct(F.lit(v).alias("rule_version"), _found("text", v).alias("spans")))
+    new = settled(new.select("blob", F.array_compact(F.array(*map(entry, range(1, rule_version + 1)))).alias("entries")), "entries")
+    new = new.select("blob", F.explode("entries").alias("e")).select("blob", "e.rule_version", "e.spans")
     return new if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(new)
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERSION, name: str = "spans") -> DataFrame:
-    """docs with the spans of their contents. Blobs without findings aren't joined, so that many rows of one clean blob make no hot key."""
-    hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias("blob_"), F.col("spans").alias(name))
+    """docs with the spans of their contents, by the rules of all versions up to the given one."""
+    hits = ledger.where((F.col("rule_version") <= rule_version) & (F.size("spans") > 0)).groupBy(F.col("blob").alias("blob_")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias(name))
     keyed = docs.withColumn("key_", blob_of(F.col("text")))
-    out = keyed.join(hits, F.col("key_") == F.col("blob_"), "left")
+    if hits.count() <= MOST_HITS:
+        out = keyed.join(F.broadcast(hits), F.col("key_") == F.col("blob_"), "left")
+    else:
+        plain = [f.name for f in docs.schema if isinstance(f.dataType, AtomicType)]
+        salted = keyed.withColumn("salt_", F.pmod(F.xxhash64(*plain), F.lit(SALTS)))
+        spread = hits.withColumn("salt2_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        out = salted.join(spread, (F.col("key_") == F.col("blob_")) & (F.col("salt_") == F.col("salt2_")), "left").drop("salt_", "salt2_")
     return out.drop("key_", "blob_").withColumn(name, F.coalesce(name, F.array().cast(SPAN)))
 
 
@@ -118,8 +116,12 @@ def without_secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFra
 
 
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over the corpus's history: an earlier snapshot, half of the contents by their hash, under the first rule version;
+    then all documents under the present one, of which only unseen pairs are scanned."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = materialize(scan(docs))
+    earlier = materialize(scan(docs.where(F.substring(blob_of(F.col("text")), 1, 1) < "8"), rule_version=1))
+    ledger = materialize(scan(docs, earlier))
+    discard(earlier)
     out = findings(docs, ledger)
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s.kind.isin(*BASE))
@@ -131,7 +133,7 @@ def brute(text: str | None) -> tuple[list, list]:
     import re
 
     found = []
-    for rank, (kind, pattern, group, least) in enumerate(RULES):
+    for rank, (kind, pattern, group, least, _) in enumerate(RULES):
         found += [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text or "", re.ASCII) if len(m[group]) >= least]
     found.sort()
     return [x[2] for x in found if x[1] < 3], [x[2] for x in found]

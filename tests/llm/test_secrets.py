@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from inkveil.llm import secrets
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, blob string, spans string"
@@ -26,18 +28,23 @@ def test_matches_brute_force(spark, docs_dir):
     assert secrets.op4_secret_ledger(spark, docs_dir([], DOCS)).count() == 0
 
 
-def test_only_unseen_pairs_are_scanned(spark, docs_dir):
-    rows = [(i, f"password=abc{i % 4}xyz", None, None, None, "b", "s") for i in range(20)]
+def test_only_unseen_pairs_are_scanned(spark, docs_dir, monkeypatch):
+    rows = [(i, f"password=abc{i % 4}xyz ghp_{'z' * 30}", None, None, None, "b", "s") for i in range(20)]
     docs = spark.read.parquet(docs_dir(rows, DOCS) + "/documents.parquet")
     first = docs.where("doc_id % 4 < 3")
-    ledger = secrets.materialize(secrets.scan(first))
+    ledger = secrets.materialize(secrets.scan(first, rule_version=1))
     assert ledger.count() == 3
-    assert [r.text for r in secrets.unseen(docs, ledger).collect()] == ["password=abc3xyz"]
-    assert secrets.unseen(docs, ledger, rule_version=2).count() == 4
-    whole = secrets.scan(docs, ledger)
-    assert whole.count() == 4
-    found = secrets.findings(docs, whole, name="found").collect()
-    assert len(found) == 20 and all(len(r.found) == 1 for r in found)
+    assert [r.text[:16] for r in secrets.unseen(docs, ledger, 1).collect()] == ["password=abc3xyz"]
+    assert sorted((r.text[:12], r.versions) for r in secrets.unseen(docs, ledger).collect()) == [("password=abc", [1, 2])] + [("password=abc", [2])] * 3
+    # a seen pair keeps its entry: it isn't scanned again
+    marked = ledger.withColumn("spans", F.transform("spans", lambda x: x.withField("kind", F.lit("old"))))
+    whole = secrets.materialize(secrets.scan(docs, marked))
+    assert whole.count() == 8 and secrets.unseen(docs, whole).count() == 0
+    for most in (secrets.MOST_HITS, 1):
+        monkeypatch.setattr(secrets, "MOST_HITS", most)
+        found = {r.doc_id: [x.kind for x in r.found] for r in secrets.findings(docs, whole, name="found").collect()}
+        assert found == {i: ["old" if i % 4 < 3 else "assign", "token"] for i in range(20)}
+        assert all(len(r.found) == 1 for r in secrets.findings(docs, whole, 1, "found").collect())
 
 
 def test_redaction_keeps_columns(spark, docs_dir):
