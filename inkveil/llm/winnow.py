@@ -1,11 +1,15 @@
 """Document fingerprints by winnowing, in column expressions alone.
 
-Words in lower case are hashed in runs of GRAM; of each WINDOW consecutive hashes the least is chosen, the rightmost
-one on a tie, and kept with its position. Two texts that share GRAM + WINDOW - 1 consecutive words share a fingerprint
+Tokens are words in lower case, cut after LONGEST characters; a character of a script without spaces is a token of its own. Each
+token is hashed once, and the hash of a run of GRAM tokens is the rolling cyclic polynomial of theirs: the exclusive or of
+the tokens' hashes, each turned by its distance from the run's end. Runs of one, two and four tokens are joined to runs of GRAM,
+so that no run is hashed anew. Of each WINDOW consecutive hashes the least is chosen, the rightmost
+one on a tie, and kept with its position. Two texts that share GRAM + WINDOW - 1 consecutive tokens share a fingerprint
 of them. Hash and position are packed into one long, hash first, so that the least long is the choice; minima over
 windows come from three halving steps and not from a scan of each window.
 
-Edge cases: null text counts as empty, and a text without words has no fingerprint; fewer words than GRAM are one run;
+Edge cases: null text counts as empty, and a text without words has no fingerprint; fewer tokens than GRAM are one run, so a
+text below GRAM + WINDOW tokens has one fingerprint; whole texts are read, whatever their length;
 fewer hashes than WINDOW are one window; two texts without fingerprints are alike (1.0), one without and one with are
 not (0.0). Rows are ordered by descending doc_id, null ones last, and by text where ids repeat; the row after the last
 is the first, so a single row follows itself. An empty table gives an empty result; further columns are ignored.
@@ -19,6 +23,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 GRAM = 5
+#: Characters of a token at most.
+LONGEST = 16
+#: Scripts that are written without spaces.
+_SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_TOKEN = rf"[{_SPACELESS}]|[^ \t-\r{_SPACELESS}]{{1,{LONGEST}}}"
 #: A power of two.
 WINDOW = 8
 _PLACES = 2**31 - 1
@@ -31,6 +40,10 @@ def _shifted(c: str, by: int) -> Column:
     return F.slice(c, by + 1, F.size(c))
 
 
+def _turned(h: Column, by: int) -> Column:
+    return F.shiftleft(h, by).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(64 - by)))
+
+
 def add_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """df with an array of longs: the chosen hashes (upper 32 bits) and their places, in the order of places.
 
@@ -38,15 +51,18 @@ def add_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """
     rest = df.columns
     w, g = f"{name}_w", f"{name}_g"
-    trimmed = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
-    df = df.withColumn(w, trimmed)
-    df = df.withColumn(w, F.when(F.col(w) == "", F.array().cast("array<string>")).otherwise(F.split(w, r"[ \t-\r]+", -1)))
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_TOKEN), F.lit(0))
+    df = df.withColumn(w, F.transform(tokens, lambda x: F.xxhash64(x)))
+    # runs of 1, 2 and 4 tokens make one of GRAM, or of all tokens where there are fewer
+    two, four, runs = f"{name}_2", f"{name}_4", f"{name}_5"
+    df = df.withColumn(two, F.zip_with(w, _shifted(w, 1), lambda a, b: _turned(a, 1).bitwiseXOR(b)))
+    df = df.withColumn(four, F.zip_with(two, _shifted(two, 2), lambda a, b: _turned(a, 2).bitwiseXOR(b)))
+    df = df.withColumn(runs, F.zip_with(four, _shifted(w, 4), lambda a, b: _turned(a, 1).bitwiseXOR(b)))
+    short = F.aggregate(F.slice(w, F.lit(1), F.lit(GRAM)), F.lit(0).cast("bigint"), lambda a, x: _turned(a, 1).bitwiseXOR(x))
     at = F.sequence(F.lit(1), F.greatest(F.size(w) - (GRAM - 1), F.lit(1)))
-    packed = F.transform(
-        at,
-        lambda i: F.shiftleft(F.call_function("shiftrightunsigned", F.xxhash64(F.slice(w, i, F.lit(GRAM))), F.lit(32)), 31).bitwiseOR(F.lit(_PLACES) - i),
-    )
-    df = df.withColumn(g, F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(packed)).drop(w)
+    hashed = F.when(F.size(w) < GRAM, F.array(short)).otherwise(F.slice(runs, F.lit(1), F.size(at)))
+    packed = F.zip_with(hashed, at, lambda h, i: F.shiftleft(F.call_function("shiftrightunsigned", F.xxhash64(h), F.lit(32)), 31).bitwiseOR(F.lit(_PLACES) - i))
+    df = df.withColumn(g, F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(packed)).drop(w, two, four, runs)
     count = f"{name}_n"
     df = df.withColumn(count, F.size(g))
     step = 1
@@ -76,14 +92,28 @@ def _bucket(doc_id: Column) -> Column:
     return F.coalesce(F.shiftright(doc_id.cast("bigint"), _SPAN), F.lit(_LOWEST))
 
 
-def _next_bucket(buckets: DataFrame, levels: int = 2) -> DataFrame:
-    """bucket, following: the next lower one; of the lowest, the highest. Sorted in groups, then over the groups' ends."""
+#: Bits of the buckets' numbers in a group of buckets.
+_GROUP = 10
+
+
+def _levels(docs: DataFrame) -> int:
+    """How often buckets have to be grouped until at most 2^_GROUP groups are left, by the range of the ids."""
+    low, high = docs.agg(F.min(_bucket(F.col("doc_id"))), F.max(_bucket(F.col("doc_id")))).first()
+    bits = 0 if low is None else (high - low).bit_length()
+    return max(0, -(-bits // _GROUP) - 1)
+
+
+def _next_bucket(buckets: DataFrame, levels: int) -> DataFrame:
+    """bucket, following: the next lower one; of the lowest, the highest. Sorted in groups, then over the groups' ends.
+
+    After `levels` groupings the ends of at most 2^_GROUP + 1 groups are left, whatever the ids: only those meet in one task.
+    """
     down = F.col("bucket").desc()
     if not levels:
         ring = F.first("bucket").over(Window.orderBy(down).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         return buckets.select("bucket", F.coalesce(F.lead("bucket").over(Window.orderBy(down)), ring).alias("following"))
     over = Window.partitionBy("group").orderBy(down)
-    b = buckets.withColumn("group", F.shiftright("bucket", 10))
+    b = buckets.withColumn("group", F.shiftright("bucket", _GROUP))
     b = b.select("group", "bucket", F.lead("bucket").over(over).alias("inside"), F.first("bucket").over(over).alias("head"))
     heads = b.where("inside is null").select(F.col("group").alias("bucket"), "head")
     order = _next_bucket(heads.select("bucket"), levels - 1).select(F.col("bucket").alias("group"), F.col("following").alias("g3"))
@@ -101,7 +131,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     over = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     a = d.select("*", F.lead("text").over(over).alias("next_text"), F.row_number().over(over).alias("place"))
     heads = add_fingerprint(a.where("place = 1").select(F.col("bucket").alias("following"), F.col("text").alias("head_text")), "head_text", "beyond")
-    order = _next_bucket(docs.select(_bucket(F.col("doc_id")).alias("bucket")).distinct())
+    order = _next_bucket(docs.select(_bucket(F.col("doc_id")).alias("bucket")).distinct(), _levels(docs))
     joined = a.join(order.join(heads, "following").select("bucket", "head_text", "beyond"), "bucket")
     return joined.select("bucket", "place", "doc_id", "text", F.coalesce("next_text", "head_text").alias("next_text"), F.col("next_text").isNull().alias("tail"), "beyond")
 

@@ -41,11 +41,48 @@ def test_edited_texts_and_likeness(spark, docs_dir):
 def test_choice_is_rightmost_least(spark):
     text = [(i, t) for i, t in enumerate(_texts()) if t]
     df = winnow.add_fingerprint(spark.createDataFrame(text, "i int, t string"), "t", "fp")
-    words = F.filter(F.split(F.lower("t"), r"[ \t-\r]+", -1), lambda w: w != "")
-    df = df.select("i", winnow.written("fp").alias("fp"), F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), lambda k: F.xxhash64(F.slice(words, k, F.lit(5)))).alias("h"), F.size(words).alias("n"))
+    tokens = F.regexp_extract_all(F.lower("t"), F.lit(winnow._TOKEN), F.lit(0))
+    df = df.select("i", winnow.written("fp").alias("fp"), F.transform(tokens, lambda x: F.xxhash64(x)).alias("h"))
+    mixed = {}
+    turn = lambda h, by: (h << by | h >> (64 - by)) % 2**64
+    rolled = {}
     for r in df.collect():
-        hashed = [(h % 2**64) >> 32 for h in r.h] if r.n else []
-        assert r.fp == ",".join(f"{hashed[p]:x}:{p}" for p in winnow.brute_places(hashed))
+        h = [x % 2**64 for x in r.h]
+        out = []
+        for p in range(max(len(h) - winnow.GRAM + 1, min(len(h), 1))):
+            run = h[p : p + winnow.GRAM]
+            x = 0
+            for j, v in enumerate(run):
+                x ^= turn(v, len(run) - 1 - j)
+            out.append(x - 2**64 if x >= 2**63 else x)
+        rolled[r.i] = (out, r.fp)
+    every = sorted({x for out, _ in rolled.values() for x in out})
+    for r in spark.createDataFrame([(x,) for x in every], "x bigint").select("x", F.xxhash64("x").alias("m")).collect():
+        mixed[r.x] = (r.m % 2**64) >> 32
+    for out, fp in rolled.values():
+        hashed = [mixed[x] for x in out]
+        assert fp == ",".join(f"{hashed[p]:x}:{p}" for p in winnow.brute_places(hashed))
+
+
+def test_texts_without_spaces_and_long_words(spark):
+    rng = random.Random(4)
+    text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(300))
+    junk = "".join(rng.choice("abcdef0123456789") for _ in range(3000))
+    rows = [(0, text), (1, text[:250] + "abc"), (2, junk), (3, junk[:2500] + "z" * 200)]
+    df = winnow.add_fingerprint(spark.createDataFrame(rows, "i int, t string"), "t", "fp").select("i", winnow.hashes("fp").alias("h"))
+    got = {r.i: set(r.h) for r in df.collect()}
+    assert all(len(got[a] & got[b]) > 0.6 * len(got[a] | got[b]) and len(got[a]) > 20 for a, b in ((0, 1), (2, 3)))
+
+
+def test_neighbours_of_scattered_ids(spark):
+    rng = random.Random(6)
+    for ids in ([rng.randrange(-(2**63), 2**63) for _ in range(300)], [rng.randrange(2**40) for _ in range(300)], list(range(3000, 3700)), [5]):
+        buckets = sorted({i >> winnow._SPAN for i in ids}, reverse=True)
+        docs = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
+        levels = winnow._levels(docs)
+        assert max(0, (buckets[0] - buckets[-1]).bit_length() - 10 * (levels + 1)) == 0
+        got = {r.bucket: r.following for r in winnow._next_bucket(docs.select(winnow._bucket(F.col("doc_id")).alias("bucket")).distinct(), levels).collect()}
+        assert got == dict(zip(buckets, [*buckets[1:], buckets[0]], strict=True))
 
 
 def test_shared_runs_are_found(spark):
