@@ -1,3 +1,5 @@
+import pytest
+
 from inkveil.llm import urls
 
 SCHEMA = "page_id bigint, url string, html string, host string"
@@ -44,14 +46,22 @@ def test_empty(spark, tmp_path):
     assert _judged(spark, tmp_path, []) == {}
 
 
-def test_cascade_is_exact_over_its_universe(spark):
+@pytest.mark.parametrize("shard_keys", [urls.SHARD_KEYS, 700])
+def test_cascade_is_exact_over_its_universe(spark, shard_keys):
     universe = spark.range(20_000).selectExpr("concat('k', id) as key")
     listed = universe.where("substr(key, -1) in ('3', '7')")
-    cascade = urls.Cascade(listed, universe, error=0.1)
-    assert len(cascade.levels) > 2 and not cascade.joined
-    got = cascade.flag(universe, "key", "listed")
-    assert got.where("listed <> (substr(key, -1) in ('3', '7'))").count() == 0
-    joined = urls.Cascade(listed, universe, most_keys=10)
-    assert joined.joined and joined.flag(universe, "key", "listed").where("listed").count() == 4000
+    cascade = urls.Cascade(listed, universe, error=0.1, shard_keys=shard_keys)
+    assert len(cascade.levels) > 2 and cascade.shards == (1 if shard_keys > 4000 else 6)
+    # a frequent key, repeated rows, nulls
+    asked = universe.selectExpr("key", "1 as words").union(universe.selectExpr("'k3'", "2")).union(universe.limit(5).selectExpr("cast(null as string)", "3"))
+    got = cascade.flag(asked, "key", "listed")
+    assert got.columns == ["key", "words", "listed"] and got.count() == 40_005
+    assert got.where("listed <> coalesce(substr(key, -1) in ('3', '7'), false)").count() == 0
     nothing = urls.Cascade(listed.limit(0), universe)
     assert nothing.flag(universe, "key", "listed").where("listed").count() == 0
+
+
+def test_rules_of_equal_length(spark):
+    rules = (("allow", "a.com", "/x"), ("block", "a.com", "/x"), ("block", "b.com", "/"))
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://c.b.com/" + "y" * 100_000)], "page_id bigint, url string")
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules).collect()} == {1: ("a.com/x", "block"), 2: ("b.com/", "block")}
