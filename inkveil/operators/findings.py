@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalog import GROUPS
+from .verify import has_other_fields
 
 VERSION = 1
 RECT = "struct<x:float,y:float,w:float,h:float>"
@@ -43,7 +44,7 @@ def item_errors(i: Column) -> Column:
     rects_ok = F.forall(i["rects"], lambda r: (r.w > 0) & (r.h > 0) & F.forall(F.array(r.x, r.y, r.w, r.h), lambda v: ~F.isnan(v) & (F.abs(v) <= 1e6)))
     unmapped = F.coalesce(i["unmapped"], F.lit(False))
     found = [
-        ("id", bad(F.trim(i["id"]) == "")),
+        ("id", bad(i["id"] == "")),
         ("confidence", bad(~i["confidence"].between(0, 1))),
         ("category", bad(~i["category"].isin(*GROUPS))),
         ("source", bad(~i["source"].isin(*SOURCES))),
@@ -55,13 +56,22 @@ def item_errors(i: Column) -> Column:
     return F.array_compact(F.array(*(F.when(b, F.lit(code)) for code, b in found)))
 
 
+def _unknown(json: Column) -> Column:
+    """Whether there are unknown fields at any level."""
+    parts = F.from_json(json, "source string, items array<string>")
+    rects = lambda i: F.coalesce(F.from_json(i, "rects array<string>").rects, F.array().cast("array<string>"))
+    fields = ("id", "page", "text", "category", "confidence", "source", "rects", "included", "unmapped", "detector_id")
+    items = F.exists(parts["items"], lambda i: has_other_fields(i, fields) | F.exists(rects(i), lambda r: has_other_fields(r, ("x", "y", "w", "h"))))
+    return has_other_fields(json, ("version", "source", "items")) | has_other_fields(parts.source, ("path", "sha256")) | F.coalesce(items, F.lit(False))
+
+
 def errors(json: Column) -> Column:
     """Codes of what is wrong with a findings file; empty for a sound one."""
     f = parse(json)
     keys = F.json_object_keys(json)
     found = [
         ("not-json", F.coalesce(f.isNull() | keys.isNull(), F.lit(True))),
-        ("unknown-field", F.coalesce(F.size(F.array_except(keys, F.array(F.lit("version"), F.lit("source"), F.lit("items")))) > 0, F.lit(True))),
+        ("unknown-field", keys.isNull() | _unknown(json)),
         ("version", F.coalesce(f.version != VERSION, F.lit(True))),
         ("duplicate-id", F.coalesce(F.size(F.array_distinct(F.transform(f["items"], lambda i: i["id"]))) < F.size(f["items"]), F.lit(True))),
     ]

@@ -99,16 +99,35 @@ _CERTIFICATE = (
 _HASH = "^[0-9a-f]{64}$"
 
 
+def has_other_fields(json: Column, known: tuple[str, ...]) -> Column:
+    """Whether a JSON object has fields beside the known ones; null isn't an object and has none."""
+    return F.coalesce(F.size(F.array_except(F.json_object_keys(json), F.array(*map(F.lit, known)))) > 0, F.lit(False))
+
+
+def _unknown(json: Column) -> Column:
+    parts = F.from_json(json, "tool string, input string, output string, redactions array<string>, verification string")
+    checks = F.from_json(parts.verification, "checks array<string>").checks
+    any_ = lambda items, known: F.coalesce(F.exists(items, lambda x: has_other_fields(x, known)), F.lit(False))
+    return (
+        has_other_fields(json, ("format", "createdAt", "tool", "input", "output", "redactions", "verification"))
+        | has_other_fields(parts.tool, ("name", "version")) | has_other_fields(parts.input, ("sha256", "pageCount")) | has_other_fields(parts.output, ("sha256", "pageCount"))
+        | has_other_fields(parts.verification, ("passed", "checks")) | any_(parts.redactions, ("pageIndex", "category", "confidence", "textSha256")) | any_(checks, ("id", "passed", "detail"))
+    )
+
+
 def certificate_errors(json: Column) -> Column:
-    """Codes of what is wrong with a certificate; empty for a sound one."""
+    """Codes of what is wrong with a certificate; empty for a sound one.
+
+    Stricter than the format asks: a time that certify() doesn't write, a file without pages and a verification without
+    checks are errors as well.
+    """
     from ..functions.catalog import GROUPS
 
     c = F.from_json(json, _CERTIFICATE)
     keys = F.json_object_keys(json)
-    known = ("format", "createdAt", "tool", "input", "output", "redactions", "verification")
     found = [
         ("not-json", c.isNull() | keys.isNull()),
-        ("unknown-field", F.size(F.array_except(keys, F.array(*map(F.lit, known)))) > 0),
+        ("unknown-field", _unknown(json)),
         ("format", ~c.format.eqNullSafe(F.lit(FORMAT))),
         ("created-at", ~F.coalesce(c.createdAt.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"), F.lit(False))),
         ("hash", ~F.coalesce(c.input.sha256.rlike(_HASH) & c.output.sha256.rlike(_HASH), F.lit(False))),
@@ -128,12 +147,69 @@ def certificate_matches(json: Column, output: Column) -> Column:
 _DELIMITERS = b"()<>[]{}/% \t\r\n\f\0"
 
 
-def scan_pdf(data: bytes) -> tuple[bytes, list[bytes]]:
-    """data with stream bodies blanked, and the names outside strings, comments and streams.
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _literal(data: bytes) -> bytes:
+    """A string of a PDF file without its brackets: escapes and line ends resolved."""
+
+    def one(m: re.Match) -> bytes:
+        x = m[1]
+        if x[:1].isdigit():
+            return bytes([int(x, 8) & 255])
+        return b"" if x in (b"\r\n", b"\r", b"\n") else _ESCAPES.get(x, x)
+
+    return re.sub(rb"\\([0-7]{1,3}|\r\n|[\s\S])", one, data)
+
+
+def _hexadecimal(data: bytes) -> bytes:
+    digits = re.sub(rb"[^0-9A-Fa-f]", b"", data)
+    return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+
+
+def info_text(data: bytes) -> str:
+    """A string of the document information: UTF-16 with a mark, or without one where it is ASCII, else UTF-8. Never dropped."""
+    for mark, kind in ((b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le")):
+        if data.startswith(mark):
+            whole = data[2 : 2 + (len(data) - 2) // 2 * 2]
+            try:
+                return whole.decode(kind)
+            except UnicodeDecodeError:
+                break
+    else:
+        if len(data) >= 6 and len(data) % 2 == 0 and not any(data[::2]) and max(data[1::2]) < 128:
+            return data[1::2].decode()
+    return data.decode("utf-8", "replace")
+
+
+#: Keys of the document information, as a snapshot names them.
+INFO = {b"/Title": "title", b"/Author": "author", b"/Subject": "subject", b"/Keywords": "keywords", b"/Creator": "creator", b"/Producer": "producer"}
+
+
+def metadata_snapshot(data: bytes) -> dict[str, str]:
+    """The information strings of a PDF file, from its dictionaries outside streams; the first one that isn't blank counts.
+
+    A value of white space alone that isn't empty is shown as a replacement character, for it may hide something.
+    """
+    out: dict[str, str] = {}
+    for key, value in scan_pdf(data)[2]:
+        name = INFO.get(key)
+        if name and not out.get(name):
+            text = info_text(value)
+            out[name] = text if text.strip() or not value or not value.strip(b" \t\r\n\f\0") else "\ufffd"
+    return out
+
+
+def is_encrypted(data: bytes) -> bool:
+    return b"/Encrypt" in scan_pdf(data)[1]
+
+
+def scan_pdf(data: bytes) -> tuple[bytes, list[bytes], list[tuple[bytes, bytes]]]:
+    """data with stream bodies blanked, the names outside strings, comments and streams, and the strings that follow a name.
 
     A body begins after "stream" and a line end, where the keyword follows a dictionary, and ends at "endstream".
     """
-    out, names, at, n = bytearray(data), [], 0, len(data)
+    out, names, strings, at, n = bytearray(data), [], [], 0, len(data)
     last = b""
     while at < n:
         c = data[at : at + 1]
@@ -141,7 +217,7 @@ def scan_pdf(data: bytes) -> tuple[bytes, list[bytes]]:
             ends = [e for e in (data.find(b"\n", at), data.find(b"\r", at)) if e >= 0]
             at = min(ends, default=n)
         elif c == b"(":
-            depth, at = 1, at + 1
+            depth, at, begin = 1, at + 1, at + 1
             while at < n and depth:
                 if data[at] == 0x5C:
                     at += 1
@@ -150,11 +226,15 @@ def scan_pdf(data: bytes) -> tuple[bytes, list[bytes]]:
                 elif data[at] == 0x29:
                     depth -= 1
                 at += 1
+            if last == b"/":
+                strings.append((names[-1], _literal(data[begin : at - 1 if not depth else n])))
             last = b")"
         elif data[at : at + 2] in (b"<<", b">>"):
             last, at = data[at : at + 2], at + 2
         elif c == b"<":
             end = data.find(b">", at)
+            if last == b"/":
+                strings.append((names[-1], _hexadecimal(data[at + 1 : n if end < 0 else end])))
             at = n if end < 0 else end + 1
             last = b">"
         elif c == b"/":
@@ -178,15 +258,16 @@ def scan_pdf(data: bytes) -> tuple[bytes, list[bytes]]:
                 out[body:end] = b" " * (end - body)
                 at = end
             last = word
-    return bytes(out), names
+    return bytes(out), names, strings
 
 
-def check_pdf(data: bytes, secrets: list[bytes], info: dict[str, str | None] | None = None) -> list[tuple[str, bool, str]]:
+def check_pdf(data: bytes, secrets: list[bytes]) -> list[tuple[str, bool, str]]:
     """The checks on a file's bytes: metadata-clean, annotations-removed, raw-byte-scan, full-save."""
     import hashlib
 
-    blank, names = scan_pdf(data)
-    filled = [k for k in ("title", "author", "subject", "keywords") if (info or {}).get(k)]
+    blank, names, _ = scan_pdf(data)
+    info = metadata_snapshot(data)
+    filled = [k for k in ("title", "author", "subject", "keywords") if info.get(k, "").strip()]
     metadata = bool(filled) or b"<?xpacket" in data or b"/Metadata" in names
     left = []
     for s in secrets:

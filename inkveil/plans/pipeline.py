@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions.text import settled
 from ..operators.detect import DetectOptions, with_matches
-from ..operators.mask import masked, occurrences
+from ..operators.mask import masked
+from ..operators.review import search_matches, union_matches
 from ..operators.verify import certify, text_removal
 
 
 def redact(documents: DataFrame, opts: DetectOptions | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, matches, masked, checks of text documents, in one projection.
 
-    extra: strings that are masked wherever they occur, besides what is detected.
+    extra: strings that are masked wherever they occur, besides what is detected; they are matches too.
     """
     found = with_matches(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), opts)
-    spans = F.transform("matches", lambda m: F.struct(m.char_start.alias("char_start"), m.char_end.alias("char_end")))
-    out = found.withColumn("masked", masked(F.col("text"), F.concat(spans, *(occurrences(F.col("text"), F.lit(s)) for s in extra))))
-    secrets = F.array_distinct(F.concat(F.transform("matches", lambda m: m.text), F.array(*map(F.lit, extra)).cast("array<string>")))
+    out = found.withColumn("matches", union_matches(F.col("matches"), search_matches(F.col("text"), extra))) if extra else found
+    out = settled(out, "matches") if extra else out
+    out = out.withColumn("masked", masked(F.col("text"), F.col("matches")))
+    secrets = F.array_distinct(F.transform("matches", lambda m: m.text))
     return settled(out.withColumn("checks", F.array(text_removal(secrets, F.col("masked")))), "masked", "checks")
 
 

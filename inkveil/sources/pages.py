@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import settled, sums_before
 from ..operators import findings as findings_
 from ..operators.geometry import SPAN
-from ..operators.verify import certificate_errors, check_pdf
+from ..operators.verify import certificate_errors, check_pdf, is_encrypted, metadata_snapshot
 
 PAGE = f"doc_id string, page_index int, text string, spans array<{SPAN}>, width float, height float"
 
@@ -33,6 +34,20 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return raw.select("path", "length", "content", F.sha2("content", 256).alias("sha256"))
 
 
+def opened(files_: DataFrame) -> DataFrame:
+    """files with error ("encrypted", "not-pdf" or null) and the information strings; what has an error is not to be read on."""
+
+    @F.pandas_udf("struct<error:string,info:map<string,string>>")
+    def run(content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for b in content:
+            error = "not-pdf" if b"%PDF-" not in b[:1024] else "encrypted" if is_encrypted(b) else None
+            rows.append((error, metadata_snapshot(b)))
+        return pd.DataFrame(rows, columns=["error", "info"])
+
+    return files_.withColumn("o_", run("content")).select(*files_.columns, "o_.error", "o_.info")
+
+
 def text_pages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents without geometry as one page each."""
     return documents.select(F.col(key).cast("string").alias("doc_id"), F.lit(0).alias("page_index"), F.col(text).alias("text"), F.array().cast(f"array<{SPAN}>").alias("spans"), F.lit(0.0).cast("float").alias("width"), F.lit(0.0).cast("float").alias("height"))
@@ -44,12 +59,15 @@ def layer_lengths(pages: DataFrame) -> DataFrame:
 
 
 def recognised_text(lines: DataFrame) -> DataFrame:
-    """doc_id, page_index, text of recognised lines (doc_id, page_index, line, words array<struct<text, rect>>).
+    """doc_id, page_index, text, spans of recognised lines (doc_id, page_index, line, words array<struct<text, rect>>).
 
-    Words and lines are joined by one space; lines of one character or less are noise and dropped.
+    Words and lines are joined by one space; lines of one character or less are noise and dropped. Each word is a span.
     """
-    joined = lines.select("doc_id", "page_index", "line", F.array_join(F.transform("words", lambda w: w.text), " ").alias("t")).where(F.char_length("t") > 1)
-    return joined.groupBy("doc_id", "page_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "t"))), lambda x: x.t), " ").alias("text"))
+    loud = lines.where(F.char_length(F.array_join(F.transform("words", lambda w: w.text), " ")) > 1)
+    pages = loud.groupBy("doc_id", "page_index").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("line", "words"))), lambda x: x.words)).alias("words"))
+    pages = settled(pages.withColumn("at_", sums_before(F.transform("words", lambda w: F.octet_length(w.text) + 1))), "at_")
+    span = F.zip_with("words", "at_", lambda w, at: F.struct(at.alias("start"), (at + F.octet_length(w.text)).alias("end"), w.text.alias("text"), w.rect.alias("rect"), F.lit(None).cast("float").alias("ink_w")))
+    return pages.select("doc_id", "page_index", F.array_join(F.transform("words", lambda w: w.text), " ").alias("text"), span.cast(f"array<{SPAN}>").alias("spans"))
 
 
 def write_json(df: DataFrame, column: str, path: str) -> None:

@@ -83,7 +83,7 @@ def test_redact_verify_certify(spark):
     errors = lambda s: one(spark, verify.certificate_errors(F.col("s")), s=s)
     assert errors(c[0].certificate) == []
     sound = json.loads(c[0].certificate)
-    for change, code in (({"format": "x"}, "format"), ({"extra": 1}, "unknown-field"), ({"createdAt": "now"}, "created-at"), ({"verification": {"passed": False, "checks": []}}, "verification"), ({"output": {"sha256": "zz", "pageCount": 1}}, "hash")):
+    for change, code in (({"format": "x"}, "format"), ({"extra": 1}, "unknown-field"), ({"tool": sound["tool"] | {"x": 1}}, "unknown-field"), ({"redactions": [sound["redactions"][0] | {"text": "jane"}]}, "unknown-field"), ({"createdAt": "now"}, "created-at"), ({"verification": {"passed": False, "checks": []}}, "verification"), ({"output": {"sha256": "zz", "pageCount": 1}}, "hash")):
         assert code in errors(json.dumps(sound | change))
     assert "not-json" in errors("[")
     assert one(spark, verify.certificate_matches(F.col("s"), F.lit(rows[1].masked)), s=c[0].certificate)
@@ -128,7 +128,7 @@ def test_pdf_bytes():
     names = verify.scan_pdf(b"/Annots (a \\) /Annots (x)) /AnnotsX 1 /Foo/Annots 2 % /Annots\n<2F416E>")[1]
     assert names.count(b"/Annots") == 2
     data = b"1 0 obj <</Length 9>>\nstream\r\nsecret123\nendstream endobj (secret9) /Prev 3 stream secret"
-    blank, names = verify.scan_pdf(data)
+    blank, names, _ = verify.scan_pdf(data)
     assert len(blank) == len(data) and b"secret123" not in blank and b"secret9" in blank and b"/Prev" in names
     checks = {c[0]: c[1] for c in verify.check_pdf(data, [b"secret123"])}
     assert checks == {"metadata-clean": True, "annotations-removed": True, "raw-byte-scan": True, "full-save": False}
@@ -149,7 +149,7 @@ def test_findings(spark):
     errors = lambda f: one(spark, findings.errors(F.col("s")), s=json.dumps(f))
     assert errors(built[1]) == []
     item = built[1]["items"][0]
-    for change, code in (({"id": " "}, "id"), ({"confidence": 2}, "confidence"), ({"category": "?"}, "category"), ({"source": "?"}, "source"), ({"rects": []}, "included-without-rects"), ({"unmapped": True}, "unmapped-included"), ({"rects": [{"x": 0, "y": 0, "w": 0, "h": 1}]}, "rects")):
+    for change, code in (({"id": ""}, "id"), ({"bogus": 1}, "unknown-field"), ({"rects": [{"x": 0, "y": 0, "w": 1, "h": 1, "z": 1}]}, "unknown-field"), ({"confidence": 2}, "confidence"), ({"category": "?"}, "category"), ({"source": "?"}, "source"), ({"rects": []}, "included-without-rects"), ({"unmapped": True}, "unmapped-included"), ({"rects": [{"x": 0, "y": 0, "w": 0, "h": 1}]}, "rects")):
         assert code in errors(built[1] | {"items": [item | change]})
     assert "duplicate-id" in errors(built[1] | {"items": [item, item]}) and "version" in errors(built[1] | {"version": 2})
     assert not one(spark, findings.is_stale(F.col("s"), F.lit("content")), s=json.dumps(built[1])) and one(spark, findings.is_stale(F.col("s"), F.lit("x")), s=json.dumps(built[1]))
