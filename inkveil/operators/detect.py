@@ -121,7 +121,7 @@ def _all_candidates(whole: str, gates: str, patterns: list[Pattern]) -> Column:
     needs = list(dict.fromkeys(p.needs for p in patterns if p.needs))
     found = []
     for i, p in enumerate(patterns):
-        here = _marked(F.col(whole), ("(?iU)" if p.case_blind else "(?U)") + p.regex)
+        here = _marked(F.col(whole), ("(?iU)" if p.case_blind else "(?U)") + (p.search or p.regex))
         if p.needs:
             here = F.when(F.get(F.col(gates), F.lit(needs.index(p.needs))), here)
         found.append(F.struct(F.lit(i).alias("pattern"), here.alias("marked")))

@@ -112,7 +112,7 @@ def test_preparation():
     low = mask.stretch(gray, 2, 98)
     # 2 percent of 16 pixels is less than one, which the value 0 reaches; 98 percent is 15, which the gray of most reaches
     assert gray[1, 1] == 128 and low[0, 0] == 80 and low[1, 1] == low[3, 3] == 255
-    assert (mask.stretch(np.full((3, 3), 7, np.uint8)) == 7).all() and mask.sharpen(np.full((2, 2), 7, np.uint8)).tolist() == [[7, 7], [7, 7]]
+    assert (mask.stretch(np.full((20, 20), 7, np.uint8)) == 7).all() and mask.sharpen(np.full((2, 2), 7, np.uint8)).tolist() == [[7, 7], [7, 7]]
     dot = np.zeros((3, 3), np.uint8)
     dot[1, 1] = 80
     assert mask.sharpen(dot)[1, 1] == 100 and mask.sharpen(dot)[0, 0] == 0
