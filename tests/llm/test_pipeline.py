@@ -49,3 +49,31 @@ def test_mix_comes_near_targets(spark, docs_dir):
     for s, t in mixing.brute_targets(by).items():
         assert abs(took.get(s, 0) - t) <= 0.1 * t + 20
     assert {5000, 5001} <= {r.doc_id for r in out.collect()}
+
+
+def test_stages_on_edge_cases(spark, docs_dir):
+    """Nulls in any column, repeated rows, a very long text, clashing columns, and an empty table."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, component bigint, spans string, blob string, class string, slot int"
+    extra = (0.5, 7, "s", "b", "c", 3)
+    labels = ([(i, i % 2, 0) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    rows = [(i, f"the story of the house number {i} began by the river", "en", "a", 9, *extra) for i in range(20)]
+    rows += [(None, None, None, None, None, *[None] * 6), (None, "", "en", None, 0, *extra), (3, rows[3][1], "en", "a", 9, *extra), (50, "slow light " * 40_000 + "password=hunter2hunter2", "en", "b", 1, *extra), (51, " ", "en", "b", 1, *extra)]
+    for given in (rows, []):
+        path = docs_dir(given, schema, labels=labels)
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, path)
+            assert out.columns == docs.columns, name
+            got = out.collect()
+            if not given:
+                assert got == [], name
+            kept = {r.doc_id for r in got}
+            assert kept <= {r[0] for r in given}, name
+            if name.startswith("MinHash"):
+                # the repeated row goes, rows without words stay
+                assert sorted(map(repr, (r.doc_id for r in got))) == sorted(map(repr, [r[0] for r in given if r is not rows[22]]))
+            if name.startswith("secret") and given:
+                assert len(got) == len(given) and {r.doc_id: r.text for r in got}[50] == "slow light " * 40_000 + "[assign]"
+            if name.startswith("mixing") and given:
+                assert {None, 51} <= kept
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() == len(given)
