@@ -3,7 +3,8 @@
 Trees are trained on the driver from a bounded sample of labelled rows and flattened into arrays; scoring walks
 all trees of a batch with numpy. Edge cases: null or empty text has the statistics of an empty document and is
 scored like any other; a null doc_id counts as held out; labels that are null are ignored
-and repeated labels are averaged; with no usable label every score is 0.5, with one class only its share; an
+and repeated labels are averaged; of rows with one labelled doc_id the one of the least text is learnt from; whole texts are
+read, whatever their length; equal texts score alike; of splits with equal gain the first feature's lowest wins; with no usable label every score is 0.5, with one class only its share; an
 empty table gives an empty result; further columns of the input are kept by filter_quality and ignored elsewhere.
 """
 
@@ -168,9 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> F
     def stats(text: pd.Series) -> pd.Series:
         return pd.Series([statistics(t) for t in text])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", (F.col("y") >= 0.5).cast("int").alias("y"), stats("text").alias("x")).toPandas()
-    rows["k"] = [tuple(r) for r in rows["x"]]
-    rows = rows.sort_values(["doc_id", "k"])  # the same trees whatever order tasks end in
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    rows = texts.select("doc_id", (F.col("y") >= 0.5).cast("int").alias("y"), stats("text").alias("x")).toPandas()
+    rows = rows.sort_values("doc_id")  # the same trees whatever order tasks end in
     return train(np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(NAMES)), rows["y"].to_numpy(dtype=np.float64))
 
 
