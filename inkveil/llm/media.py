@@ -126,6 +126,9 @@ def expand(codec: str, samples: bytes) -> np.ndarray:
     return (MULAW if codec == "mulaw" else ALAW)[raw]
 
 
+#: Bytes of files, payloads and PCM that wait for a batch; a longer text is a batch of its own.
+FLUSH = 8_000_000
+
 SCHEMA = "id bigint, n_bytes bigint, media binary, payload binary, pcm binary, feature string"
 
 
@@ -164,13 +167,14 @@ def audio(docs: DataFrame, key: str = "doc_id", text: str = "text", target_rate:
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            at = 0
+            at = size = 0
             out: list = []
             for row in _records(batch.column(1), target_rate):
                 out.append(row)
-                if len(out[-1][3]) > 1_000_000 or len(out) >= 256:
+                size += sum(map(len, row[1:4]))
+                if size > FLUSH:
                     yield _batch(ids.slice(at, len(out)), out)
-                    at, out = at + len(out), []
+                    at, size, out = at + len(out), 0, []
             if out:
                 yield _batch(ids.slice(at, len(out)), out)
         release()

@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 
 import numpy as np
 
@@ -54,3 +55,25 @@ def test_resample():
     assert media.resample(x, 8000, 16000).tolist() == [0, 50, 100, 0, -100, -100]
     assert media.resample(x, 16000, 8000).tolist() == [0]
     assert len(media.resample(x[:0], 8000, 16000)) == 0
+
+
+def test_features_and_pcm_match_brute_force(spark, docs_dir, monkeypatch):
+    monkeypatch.setattr(media, "FLUSH", 3_000)  # batches of a few rows, and of one
+    path = docs_dir([(i, t, None, None, None) for i, t in enumerate(TEXTS)])
+    rows = {r.doc_id: r for r in media.op5_telephony_audio(spark, path).collect()}
+    for i, t in enumerate(TEXTS):
+        if len(t or "") > 10_000:
+            continue
+        data = (t or "").encode()
+        data += b" " * (-len(data) % 192 if data else 192)
+
+        def level(x):
+            changes = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+            return f"{int((sum(v * v for v in x) / len(x)) ** 0.5)},{max(map(abs, x))},{changes}"
+
+        mulaw, alaw = ([int(table[b]) for b in data] for table in (media.MULAW, media.ALAW))
+        ima = [v for at in range(0, len(data), 192) for v in _one_block(data[at : at + 192])]
+        wide = media.resample(np.array(mulaw, dtype=np.int16), 8000, 16000).astype("<i2").tobytes()
+        crc = zlib.crc32(np.array(ima, dtype="<i2").tobytes())
+        assert rows[i].feature == f"mulaw {level(mulaw)};alaw {level(alaw)};adpcm {int(sum(map(abs, ima)) / len(ima))},{crc:08x};pcm16000 {len(wide) // 2},{zlib.crc32(wide):08x}"
+        assert rows[i].pcm_sha256 == hashlib.sha256(wide).hexdigest() and len(wide) == 4 * len(data)
