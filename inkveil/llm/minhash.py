@@ -10,7 +10,10 @@ bits would have to agree for two sets to be taken for one.
 
 In a list, all members are paired with the least first; collisions over whole signatures are counted, pairs with
 MATCHES or more are confirmed on full shingle sets, and components are formed. Lists whose members lie in more than
-one component are then searched, in blocks, for pairs across components, each in the first list that it shares; pairs
+one component are then searched, in blocks, for pairs across components, each in the first list that it shares. There
+members are posted under all their tokens, and collisions are counted by merging a member's lists: the MATCHES - 1 longest of
+them are skipped, for whoever collides often enough is in one of the others, and are only looked into for members found in
+those; members with company in fewer than MATCHES lists are skipped. Pairs
 with MATCHES or more whose sketches allow the similarity are confirmed in turn. Links inside a component don't change
 it, so nothing is lost, and a group of n copies costs about n pairs and not n * n. Lists of more than a block are thinned
 first: a class that has over a fifth of its shingles to itself among all members of such lists is like none of them. So texts
@@ -187,11 +190,36 @@ def _alike(mine: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, e
 _PAD = 2**32
 
 
+def _merge(sig: np.ndarray, left: np.ndarray, right: np.ndarray, matches: int):
+    """(i, rows of right that collide with row i in `matches` places or more) for the rows i of left that have any but i itself.
+
+    right's rows are posted under each coordinate-value pair. Of the lists in which a row has company, the `matches` - 1 longest
+    are skipped: a row that collides often enough is in one of the others, which are merged, and only rows found there are
+    looked up in the skipped ones. A row with fewer lists than `matches` is skipped itself.
+    """
+    posted = np.argsort(sig[right], axis=0, kind="stable").T.copy()
+    values = np.take_along_axis(sig[right].T, posted, axis=1)
+    lo, hi = (np.stack([np.searchsorted(v, s, side) for v, s in zip(values, sig[left].T, strict=True)], axis=1) for side in ("left", "right"))
+    company = hi - lo - np.isin(left, right)[:, None]
+    for row in np.flatnonzero((company > 0).sum(axis=1) >= matches).tolist():
+        i = left[row]
+        held = np.flatnonzero(company[row])
+        held = held[np.argsort(company[row, held], kind="stable")]
+        short, skipped = held[: len(held) - matches + 1], held[len(held) - matches + 1 :]
+        counts = np.bincount(np.concatenate([posted[c, lo[row, c] : hi[row, c]] for c in short.tolist()]), minlength=len(right))
+        found = np.flatnonzero(counts)
+        at = right[found]
+        often = counts[found] + (sig[at][:, skipped] == sig[i, skipped]).sum(axis=1) >= matches
+        at = at[often & (at != i)]
+        if len(at):
+            yield i, at
+
+
 def _across(lists: DataFrame, matches: int, block: int, errors: float) -> DataFrame:
     """Pairs of different components that share a list, `matches` places and enough of their sketches.
 
     lists: token, posted (bits of the coordinates that a class is posted under), class, component, n, signature, sketch. A
-    list is dealt into blocks, and each pair of blocks is compared apart from the others.
+    list is dealt into blocks, and each pair of blocks is merged apart from the others.
     """
     sizes = lists.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("members") / block).alias("blocks"))
     dealt = lists.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")))
@@ -216,16 +244,13 @@ def _across(lists: DataFrame, matches: int, block: int, errors: float) -> DataFr
 
         first = own == own.min()
         one_block = bool(first.all())
-        right = np.arange(len(rows)) if one_block else np.flatnonzero(~first)
-        for i in range(len(rows)) if one_block else np.flatnonzero(first).tolist():
-            at = right[right > i] if one_block else right
+        left, right = (np.arange(len(rows)),) * 2 if one_block else (np.flatnonzero(first), np.flatnonzero(~first))
+        for i, at in _merge(sig, left, right, matches):
+            if one_block:
+                at = at[at > i]
             at = at[(comp[at] != comp[i]) & (100 * np.minimum(n[at], n[i]) >= LEAST * np.maximum(n[at], n[i]))]
-            if not len(at):
-                continue
-            same = sig[at] == sig[i]
             # a pair is looked at in the first of the lists that it shares
-            here = (same.sum(axis=1) >= matches) & ((same & under[at] & under[i]).argmax(axis=1) == token >> 32)
-            at = at[here]
+            at = at[((sig[at] == sig[i]) & under[at] & under[i]).argmax(axis=1) == token >> 32]
             if not len(at):
                 continue
             like, exact = _alike(least[i], n[i], padded[at], n[at], errors)

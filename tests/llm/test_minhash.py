@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from inkveil.llm import graph, minhash
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, class string, component int"
@@ -107,6 +109,19 @@ def test_texts_with_one_common_passage_are_not_compared(spark, monkeypatch):
     assert compared[1] <= 2 * compared[0] + 64
 
 
+def test_merging_counts_all_collisions():
+    """Against the comparison of all signatures: few values, so that lists are long; one block and two; every threshold."""
+    rng = np.random.default_rng(7)
+    sig = rng.integers(0, 4, (90, minhash.COORDINATES)).astype(np.uint32)
+    sig[40:60] = sig[5]  # ties: the same row often
+    sig[60] = rng.integers(10, 99, minhash.COORDINATES)  # without company
+    whole = np.arange(90)
+    for matches in (1, 2, 9, 16, 32):
+        for left, right in ((whole, whole), (whole[:50], whole[50:]), (whole[50:], whole[:50])):
+            got = {(int(i), int(j)) for i, at in minhash._merge(sig, left, right, matches) for j in at}
+            assert got == {(i, j) for i in left.tolist() for j in right.tolist() if i != j and (sig[i] == sig[j]).sum() >= matches}
+
+
 def test_sets_that_share_a_name_stay_apart(spark):
     rows = [(i, 0, 5, 77, c, b"s", b"k") for i, c in ((1, 1), (2, 1), (3, 2))]
     base = spark.createDataFrame([*rows, (4, 0, 0, None, None, None, None)], minhash._BASE)
