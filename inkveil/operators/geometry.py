@@ -13,6 +13,7 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 RECT = "struct<x:float,y:float,w:float,h:float>"
 SPAN = f"struct<start:int,end:int,text:string,rect:{RECT},ink_w:float>"
@@ -210,15 +211,28 @@ def map_matches(pages: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_index
 
 
 def union_regions(native: DataFrame, recognised: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Regions of both layers, united page by page."""
-    key_types = [f"{f.name} {f.dataType.simpleString()}" for f in native.schema if f.name in keys]
-    fields = [x.strip().split(" ")[0] for x in REGION.replace(f"array<{RECT}>", "r").split(",")]
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        plain = lambda df: [r | {"rects": [_rect(x) for x in r["rects"]]} for r in df[fields].to_dict("records")]
-        rows = [dict(zip(keys, key, strict=False)) | r | {"rects": [dict(zip("xywh", map(float, x), strict=True)) for x in r["rects"]]} for r in union(plain(left), plain(right))]
-        return pd.DataFrame(rows, columns=[*keys, *fields])
+    """Regions of both layers, united page by page.
 
+    A page's regions come together in one shuffle, in the order of their rows, and many pages make an Arrow batch.
+    """
+    fields = [f for f in StructType.fromDDL(REGION) if f.name != "page_index"]
+    of = f"struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in fields)}>"
     by = [*keys, "page_index"]
-    pick = [*keys, *fields]
-    return native.select(*pick).groupBy(*by).cogroup(recognised.select(*pick).groupBy(*by)).applyInPandas(run, ", ".join([*key_types, REGION]))
+
+    def layer(df: DataFrame, number: int) -> DataFrame:
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]
+        return df.select(*keys, F.col("page_index").cast("int").alias("page_index"), F.struct(F.lit(number).alias("layer"), F.monotonically_increasing_id().alias("row"), *columns).alias("r_"))
+
+    @F.pandas_udf(f"array<{of}>")
+    def run(pages: pd.Series) -> pd.Series:
+        out = []
+        for regions in pages:
+            sides: tuple[list, list] = ([], [])
+            for r in regions:
+                sides[r["layer"]].append({f.name: r[f.name] for f in fields} | {"rects": [_rect(x) for x in r["rects"]]})
+            out.append([r | {"rects": [dict(zip("xywh", map(float, x), strict=True)) for x in r["rects"]]} for r in union(*sides)])
+        return pd.Series(out)
+
+    pages = layer(native, 0).unionByName(layer(recognised, 1)).groupBy(*by).agg(F.sort_array(F.collect_list("r_")).alias("r_"))
+    united = pages.select(*by, F.explode_outer(run("r_")).alias("r_")).where("r_ is not null").select(*by, "r_.*")
+    return united.select(*keys, *StructType.fromDDL(REGION).names)

@@ -204,6 +204,20 @@ def test_union_regions():
     assert len(u([r(0, 0, 50, 20, 0.9), r(80, 0, 20, 20, 0.8)], [r(40, 0, 60, 20, 0.7)])) == 1
 
 
+def test_union_of_layers_page_by_page(spark):
+    """Pages of one layer, null keys, and ties, which the first row of a layer wins."""
+    r = lambda doc, page, x, w, c, source: (doc, page, [{"x": float(x), "y": 0.0, "w": float(w), "h": 10.0}], "same", "person", c, True, source)
+    schema = f"doc_id string, {geometry.REGION}"
+    native = spark.createDataFrame([r("a", 0, 0, 50, 0.9, "n1"), r("a", 0, 10, 50, 0.9, "n2"), r(None, 0, 0, 9, None, "n3"), r("b", 1, 0, 9, 0.5, "n4")], schema).coalesce(1)
+    seen = spark.createDataFrame([r("a", 0, 5, 20, 0.9, "o1"), r("b", 0, 0, 9, 0.5, "o2"), r("b", 1, 100, 9, 0.5, "o3")], schema).coalesce(1)
+    got = geometry.union_regions(native, seen)
+    assert got.schema.simpleString() == native.schema.simpleString()
+    assert sorted((str(g.doc_id), g.page_index, g.source, [(q.x, q.w) for q in g.rects]) for g in got.collect()) == [
+        ("None", 0, "n3", [(0, 9)]), ("a", 0, "n1", [(0, 50), (10, 50)]), ("b", 0, "o2", [(0, 9)]), ("b", 1, "n4", [(0, 9)]), ("b", 1, "o3", [(100, 9)]),
+    ]
+    assert geometry.union_regions(native.limit(0), seen.limit(0)).count() == 0
+
+
 def test_evaluation(spark):
     truth = spark.createDataFrame([(1, "Kimberly Lawrence"), (1, "56-year-old"), (1, "missing"), (2, "x")], "doc_id int, text string")
     found = spark.createDataFrame([(1, "KimberlyLawrence"), (1, "Age: 56"), (1, "junk"), (1, "junk"), (3, "")], "doc_id int, text string")
