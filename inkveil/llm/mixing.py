@@ -9,7 +9,9 @@ cut off, and missing ones are appended, so that each source's words are its targ
 Prefix sums are taken within hash buckets first, so that a source with most of the rows is summed in many tasks.
 Edge cases: null or empty text has size 0 and takes nothing; a null source is the last source; repeated doc_ids are
 rows of their own; a table without words has targets 0; an empty table gives an empty result; further columns are
-ignored by the query and kept by mix().
+ignored by the query and kept by mix(). Ties: of sources whose limits per weight are equal the first comes first, which changes no
+target; of documents with equal hashes the one of the least doc_id, then size, then place in the table. Whole texts are
+counted, whatever their length, and a text's words may be spread over many slots.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from .common import WORD, discard, materialize, table
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 BLOCK = 256
 SEED = 20
-#: Rows of a bucket or segment, about.
-_BUCKET_ROWS = 4096
+#: Rows of a bucket, about, and slots of a segment. Parts are many, so that those of a source with most rows spread evenly.
+_BUCKET_ROWS, _SEGMENT = 4096, 65_536
 #: Cells of the unit interval by which points find their source.
 _CELLS = 4096
 #: A golden-ratio step of 2 ** 31: 0.618... * 2 ** 31, odd.
@@ -80,7 +82,7 @@ def schedule(sources: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("x")).withColumn("cell", F.floor(F.col("x") * _CELLS))
     cells = sources.where("high > low").select("sid", "low", "high", "target", F.explode(F.sequence(F.floor(F.col("low") * _CELLS), F.least(F.floor(F.col("high") * _CELLS), F.lit(_CELLS - 1)))).alias("cell"))
     found = points.join(cells, "cell").where("x >= low and x < high")
-    ranked = _running(found.select("slot", "sid", "target"), ["sid"], F.floor(F.col("slot") / (16 * _BUCKET_ROWS)), ["slot"], F.lit(1), "rank")
+    ranked = _running(found.select("slot", "sid", "target"), ["sid"], F.floor(F.col("slot") / _SEGMENT), ["slot"], F.lit(1), "rank")
     whole = F.floor("target").cast("bigint")
     kept = ranked.where(F.col("rank") * block < whole).select("slot", "sid", "rank", "target")
     have = ranked.groupBy("sid").agg(F.max("rank").alias("top"))
@@ -125,7 +127,10 @@ def plan(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Dat
 
 def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target, taken; a row for each row of docs."""
-    sizes, sources, parts = plan(docs, block)
+    return _taken(*plan(docs, block))
+
+
+def _taken(sizes: DataFrame, sources: DataFrame, parts: DataFrame) -> DataFrame:
     took = parts.groupBy("row").agg(F.sum("words").alias("taken"))
     ids = sources.select(F.col("source").alias("s2"), "source_size", "target")
     out = sizes.join(ids, sizes.source.eqNullSafe(ids.s2)).join(took, "row", "left")
@@ -156,10 +161,12 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Rows that the mix doesn't take go; rows without words, which take no part in it, stay once. Columns unchanged.
     """
-    t = taken(docs, block).where("size > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    sizes, sources, parts = plan(docs, block)
+    t = _taken(sizes, sources, parts).where("size > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
     # rows alike in these share what they take
     t = t.select(F.col("doc_id").alias("d2"), F.col("source").alias("s2"), F.col("size").alias("z2"), F.floor((2 * F.col("taken") / F.col("rows") + F.col("size")) / (2 * F.col("size"))).cast("int").alias("times"))
     t = materialize(t)
+    discard(sizes, sources)
     keyed = docs.withColumn("z1_", size_of(F.col("text")))
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("d2")) & F.col("source").cast("string").eqNullSafe(F.col("s2")) & (F.col("z1_") == F.col("z2"))
     joined = keyed.join(t, same, "left")
