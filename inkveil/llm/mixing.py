@@ -28,7 +28,7 @@ REPEATS = 3
 BLOCK = 256
 SEED = 20
 #: Rows of a bucket, about, and slots of a segment. Parts are many, so that those of a source with most rows spread evenly.
-_BUCKET_ROWS, _SEGMENT = 4096, 65_536
+_BUCKET_ROWS, _SEGMENT = 512, 65_536
 #: Cells of the unit interval by which points find their source.
 _CELLS = 4096
 #: A golden-ratio step of 2 ** 31: 0.618... * 2 ** 31, odd.
