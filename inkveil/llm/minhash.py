@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release, table
+from .common import arrow_rows, discard, materialize, release, table
 from .graph import components
 
 COORDINATES, MATCHES = 32, 16
@@ -48,6 +48,8 @@ LEAST = 80
 SKETCH, ERRORS = 256, 5
 #: Members of a list that are compared at once.
 BLOCK = 512
+#: Rows of texts or signatures that an Arrow batch holds at most.
+BATCH_ROWS = 2_000
 #: Keys (16 bytes each) that a broadcast holds at most; beyond, the join is a shuffled one.
 MOST_KEYS = 2_000_000
 
@@ -330,6 +332,12 @@ def _thinned(lists: DataFrame, docs: DataFrame, classes: DataFrame, k: int, bloc
 
 def group(docs: DataFrame, k: int = WORDS, block: int = BLOCK, matches: int = MATCHES, errors: float = ERRORS) -> DataFrame:
     """doc_id, content, n_shingles, component (a long, null without shingles), component_id, confirmed_links (of its class, not all it has)."""
+    # all that runs in Python is written before this returns
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _group(docs, k, block, matches, errors)
+
+
+def _group(docs: DataFrame, k: int, block: int, matches: int, errors: float) -> DataFrame:
     base, classes = _classes(materialize(_sketch(docs, k)))
     tokens = _tokens(classes)
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
