@@ -98,20 +98,26 @@ def _clean() -> None:
             pass
 
 
-def slices(column: pa.Array, size: int = 2_000_000):
-    """(start, stop, texts) for consecutive rows with about size bytes of text together, one row at least.
-
-    Only a slice's texts become Python strings at a time, whatever the size of the batch.
-    """
+def bounds(column: pa.Array, size: int):
+    """(start, stop) of consecutive rows with about size bytes of text together, one row at least."""
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(lengths.tolist()):
         total += n
         if total >= size:
-            yield start, i + 1, column.slice(start, i + 1 - start).to_pylist()
+            yield start, i + 1
             start, total = i + 1, 0
     if start < len(lengths):
-        yield start, len(lengths), column.slice(start).to_pylist()
+        yield start, len(lengths)
+
+
+def slices(column: pa.Array, size: int = 2_000_000):
+    """(start, stop, texts) for consecutive rows with about size bytes of text together, one row at least.
+
+    Only a slice's texts become Python strings at a time, whatever the size of the batch.
+    """
+    for start, stop in bounds(column, size):
+        yield start, stop, column.slice(start, stop - start).to_pylist()
 
 
 def release() -> None:

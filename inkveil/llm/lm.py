@@ -26,18 +26,19 @@ from __future__ import annotations
 
 import json
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, fold, materialize, release, slices, table
+from .common import bounds, discard, fold, materialize, release, table
 
 FOLDS = 10
 ADDED = 0.1
@@ -55,6 +56,22 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), _END]
 
 
+def listed(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words, each token of all texts as its word's place, and the number of tokens of each text: tokens() for a column."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found = split.flatten()
+    filled = pc.greater(pc.binary_length(found), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty part
+    before = np.append(0, filled.cumsum())[np.append(0, pc.list_value_length(split).to_numpy().cumsum())]
+    coded = found.filter(pa.array(filled)).dictionary_encode()
+    words = [*coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(found.type) else pa.binary()).to_pylist(), _END]
+    lengths = np.diff(before) + 1
+    place = np.full(int(lengths.sum()), len(words) - 1, dtype=np.int64)
+    inner = np.ones(len(place), dtype=bool)
+    inner[lengths.cumsum() - 1] = False
+    place[inner] = coded.indices.to_numpy()
+    return words, place, lengths
+
+
 # --- packing ---
 
 
@@ -84,33 +101,41 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def _steps(*columns: np.ndarray) -> list[np.ndarray]:
-    """Rows in order, as small numbers: each column's step where the columns before it stay, else its value."""
-    out, same = [], np.ones(len(columns[0]), dtype=bool)
-    same[:1] = False
+_ALL = np.zeros(1, dtype=np.int64)
+
+
+def _steps(*columns: np.ndarray, starts: np.ndarray = _ALL) -> list[np.ndarray]:
+    """Rows in order within runs, as small numbers: each column's step where the columns before it stay, else its value.
+
+    starts: where runs begin; runs may be empty.
+    """
+    new = _begun(starts, len(columns[0]))
+    out = []
     for x in columns:
         step = np.diff(x, prepend=0)
-        first = not out
-        out.append(step if first else np.where(same, step, x))
-        same = same & (step == 0)
+        out.append(np.where(new, x, step))
+        new = new | (step != 0)
     return out
 
 
-def _unsteps(*columns: np.ndarray) -> list[np.ndarray]:
-    out, same = [], np.ones(len(columns[0]), dtype=bool)
-    same[:1] = False
+def _unsteps(*columns: np.ndarray, starts: np.ndarray = _ALL) -> list[np.ndarray]:
+    new = _begun(starts, len(columns[0]))
+    out = []
     for x in columns:
-        total = x.cumsum()
-        if out:
-            start = np.maximum.accumulate(np.where(same, 0, np.arange(len(x))))
-            value = total - total[start] + x[start]
-        else:
-            value = total
+        value, at = x.cumsum(), np.flatnonzero(new)
+        value -= np.repeat(value[at] - x[at], np.diff(np.append(at, len(x))))
         out.append(value)
-        same = same & (np.diff(value, prepend=0) == 0)
+        new[1:] |= value[1:] != value[:-1]
     return out
 
 
+def _begun(starts: np.ndarray, n: int) -> np.ndarray:
+    """Whether a run begins at each of n rows."""
+    new = np.zeros(n, dtype=bool)
+    new[starts[starts < n]] = True
+    return new
+
+
 # --- the trie ---
 
 
@@ -146,16 +171,24 @@ class EliasFano:
 
 
 def _order(columns: list[np.ndarray]) -> np.ndarray:
-    """The order of rows by columns of numbers from 0; as many columns as fit share a key."""
-    width = max(1, max((int(x.max()).bit_length() for x in columns if len(x)), default=1))
-    each = max(1, 63 // width)
-    keys = []
-    for i in range(0, len(columns), each):
-        key = columns[i]
-        for x in columns[i + 1 : i + each]:
-            key = key << width | x
-        keys.append(key)
-    return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    """The order of rows by columns of numbers from 0; as many columns as fit share a key.
+
+    What doesn't fit orders the rows that are equal so far by their number: rows come as a few runs in order, and a stable sort merges those.
+    """
+    order = key = None
+    for x in columns:
+        if key is None:
+            key = x
+            continue
+        x = x if order is None else x[order]
+        width = int(x.max()).bit_length() if len(x) else 0
+        if len(x) and int(key.max()).bit_length() + width > 63:
+            step = np.argsort(key, kind="stable")
+            order = step if order is None else order[step]
+            key, x = _changes(key[step]).cumsum(), x[step]
+        key = key << width | x
+    step = np.argsort(key, kind="stable")
+    return step if order is None else order[step]
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -166,13 +199,22 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def _distinct(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct rows in order, their counts added up, and each row's place among them."""
+    order = _order(columns)
+    columns = [x[order] for x in columns]
+    new = _changes(*columns)
+    at = np.flatnonzero(new)
+    total = np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = new.cumsum() - 1
+    return [x[at] for x in columns], total, place
+
+
 def _added(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows in order, and their counts added up; those without any are left out."""
-    order = _order(columns)
-    columns, counts = [x[order] for x in columns], counts[order]
-    at = np.flatnonzero(_changes(*columns))
-    total = np.add.reduceat(counts, at) if len(at) else counts[:0]
-    return [x[at][total > 0] for x in columns], total[total > 0]
+    columns, total, _ = _distinct(columns, counts)
+    return [x[total > 0] for x in columns], total[total > 0]
 
 
 def _bases(values: np.ndarray, pointers: np.ndarray) -> np.ndarray:
@@ -316,15 +358,10 @@ def _tokenised(docs: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         number = (TaskContext.get().partitionId()) << 32
         for batch in batches:
-            for a, b, texts in slices(batch.column("text"), BATCH):
-                dealt = [tokens(t) for t in texts]
-                every = [w for ws in dealt for w in ws]
-                words: defaultdict = defaultdict()
-                words.default_factory = words.__len__  # a new word's place is behind the others
-                place = np.fromiter(map(words.__getitem__, every), dtype=np.int64, count=len(every))
-                lengths = np.fromiter(map(len, dealt), dtype=np.int64, count=len(dealt))
+            for a, b in bounds(batch.column("text"), BATCH):
+                words, place, lengths = listed(batch.column("text").slice(a, b - a))
                 train = batch.column("train").slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
-                hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) >> 1 for w in words), dtype=np.int64, count=len(words))
+                hashes = (np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)) >> np.uint64(1)).astype(np.int64)
                 # words by hash: equal hashes are one word
                 distinct, at = np.unique(hashes, return_inverse=True)
                 place = at[place]
@@ -436,13 +473,12 @@ def _messages(batches: DataFrame, shards: int) -> DataFrame:
             for batch, data in zip(b.column("batch").to_pylist(), b.column("data").to_pylist(), strict=True):
                 g = _Grams(data, shards)
                 (o2, n2, e2), (o3, n3, e3) = g.sides
-                two, three = [x[o2] for x in g.two], [x[o3] for x in g.three]
+                (a, b_), (ta, tb, tc) = _steps(*(x[o2] for x in g.two), starts=e2), _steps(*(x[o3] for x in g.three), starts=e3)
                 to, out = [], []
                 for s in range(shards):
                     p, q = slice(e2[s], e2[s + 1]), slice(e3[s], e3[s + 1])
                     if p.stop > p.start or q.stop > q.start:
-                        (a, b_), (ta, tb, tc) = _steps(*(x[p] for x in two)), _steps(*(x[q] for x in three))
-                        out.append(pack(a=a, b=b_, n=n2[p], ta=ta, tb=tb, tc=tc, tn=n3[q]))
+                        out.append(pack(a=a[p], b=b_[p], n=n2[p], ta=ta[q], tb=tb[q], tc=tc[q], tn=n3[q]))
                         to.append(s)
                 yield _row([batch] * len(to), to, out)
         release()
@@ -450,21 +486,30 @@ def _messages(batches: DataFrame, shards: int) -> DataFrame:
     return batches.mapInArrow(run, _ROW)
 
 
+def _answers(messages: list[bytes], total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The codes of each message's pairs and triples, from the trie of the counts of all messages.
+
+    A row that many messages ask for is asked once, and rows are asked in order, so that searches go through the trie from end to end.
+    """
+    parts = [unpack(d) for d in messages]
+    a, b, n, ta, tb, tc, tn = (np.concatenate([p[k] for p in parts]) for k in ("a", "b", "n", "ta", "tb", "tc", "tn"))
+    ends2, ends3 = (np.cumsum([len(p[k]) for p in parts]) for k in ("n", "tn"))
+    del parts
+    pairs, n2, at2 = _distinct(_unsteps(a, b, starts=np.append(0, ends2)), n)
+    triples, n3, at3 = _distinct(_unsteps(ta, tb, tc, starts=np.append(0, ends3)), tn)
+    del a, b, n, ta, tb, tc, tn
+    trie = Trie(Trie.build([x[n2 > 0] for x in pairs], codes(n2[n2 > 0], total), [x[n3 > 0] for x in triples], codes(n3[n3 > 0], total)))
+    two, three = trie.pairs(*pairs)[at2], trie.triples(*triples)[at3]
+    yield from zip(np.split(two, ends2[:-1]), np.split(three, ends3[:-1]), strict=True)
+
+
 def _trie_shards(messages: DataFrame, shards: int, total: int) -> DataFrame:
     """Codes for each message's pairs and triples, in its order, from the trie of the shard."""
 
     def run(batches):
         for shard, rows in _groups(batches, "shard"):
-            parts = [unpack(d) for _, d in rows]
-            two = [_unsteps(p["a"], p["b"]) for p in parts]
-            three = [_unsteps(p["ta"], p["tb"], p["tc"]) for p in parts]
-            joined = lambda xs: [np.concatenate(x) for x in zip(*xs, strict=True)]
-            pairs, n2 = _added(joined(two), np.concatenate([p["n"] for p in parts]))
-            triples, n3 = _added(joined(three), np.concatenate([p["tn"] for p in parts]))
-            trie = Trie(Trie.build(pairs, codes(n2, total), triples, codes(n3, total)))
-            del parts, pairs, triples
-            for (batch, _), x, y in zip(rows, two, three, strict=True):
-                yield _row([batch], [shard], [pack(two=trie.pairs(*x), three=trie.triples(*y))])
+            for (batch, _), (two, three) in zip(rows, _answers([d for _, d in rows], total), strict=True):
+                yield _row([batch], [shard], [pack(two=two, three=three)])
         release()
 
     return _dealt(messages, shards).mapInArrow(run, _ROW)

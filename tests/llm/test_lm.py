@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,51 @@ def test_trie():
         ask = [rng.integers(0, top + 2, 2000) for _ in range(3)]
         assert [x > 0 for x in trie.pairs(*ask[:2])] == [p in there2 for p in zip(*ask[:2], strict=True)]
         assert [x > 0 for x in trie.triples(*ask)] == [p in there3 for p in zip(*ask, strict=True)]
+
+
+def test_listed_words_are_those_of_tokens():
+    texts = ["", None, " ", "A b\tb\n", "  \x0b\x0cÀ É\u00a0x \x1cy\r\nz\x1fz ", "a" * 70_000, "\u2003 \x00 \x85", "İ K ſ", "b A"]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["left out", *texts], kind).slice(1)
+        words, place, lengths = lm.listed(column)
+        assert len(set(words)) == len(words)
+        ends = lengths.cumsum().tolist()
+        assert [[words[i] for i in place[e - n : e]] for e, n in zip(ends, lengths, strict=True)] == [lm.tokens(t) for t in texts]
+    words, place, lengths = lm.listed(pa.array([], pa.string()))
+    assert len(place) == len(lengths) == 0
+
+
+def test_steps_in_runs():
+    rng = np.random.default_rng(3)
+    starts = np.array([0, 0, 40, 41, 41, 300, 300])  # with empty runs, the last at the end
+    columns = [rng.integers(0, 4, 300), rng.integers(0, 6, 300), rng.integers(0, 2**40, 300)]
+    order = np.concatenate([a + np.lexsort([x[a:b] for x in columns[::-1]]) for a, b in zip(starts[:-1], starts[1:], strict=True)])
+    columns = [x[order] for x in columns]
+    steps = lm._steps(*columns, starts=starts)
+    assert all(x.min() >= 0 for x in steps)
+    assert all((x == y).all() for x, y in zip(lm._unsteps(*steps, starts=starts), columns, strict=True))
+
+
+@pytest.mark.parametrize("top", [6, 2**30])
+def test_each_gram_is_searched_once_and_in_order(monkeypatch, top):
+    rng = np.random.default_rng(4)
+    asked = {"pairs": [], "triples": []}
+    for name, calls in asked.items():
+        search = getattr(lm.Trie, name)
+        monkeypatch.setattr(lm.Trie, name, lambda self, *x, search=search, calls=calls: calls.append(list(zip(*(c.tolist() for c in x), strict=True))) or search(self, *x))
+    values = rng.integers(0, top, 6)
+    messages, counts = [], {}
+    for size in (30, 0, 50, 1):
+        rows = [sorted({tuple(r) for r in rng.choice(values, (size, k)).tolist()}) for k in (2, 3)]
+        n = [rng.integers(0, 3, len(r)) for r in rows]
+        for r, m in zip(rows, n, strict=True):
+            for x, c in zip(r, m.tolist(), strict=True):
+                counts[x] = counts.get(x, 0) + c
+        (a, b), (ta, tb, tc) = (lm._steps(*np.array(r, dtype=np.int64).reshape(len(r), k).T) for r, k in zip(rows, (2, 3), strict=True))
+        messages.append((rows, lm.pack(a=a, b=b, n=n[0], ta=ta, tb=tb, tc=tc, tn=n[1])))
+    got = list(lm._answers([d for _, d in messages], 1000))
+    want = [[lm.codes(np.array([counts[x] for x in r], dtype=np.int64), 1000).tolist() for r in rows] for rows, _ in messages]
+    assert [[x.tolist() for x in two_three] for two_three in got] == want
+    # however many messages ask for it, an n-gram is looked up once, in the order of the trie
+    for k, calls in zip((2, 3), asked.values(), strict=True):
+        assert calls == [sorted(x for x in counts if len(x) == k)]
