@@ -1,10 +1,12 @@
 """Trigram language model in Elias-Fano tries, one for each shard of n-grams, queried in bulk.
 
-Texts are tokenised once, in batches of consecutive rows. A batch sends its distinct words, and later its distinct pairs and
-triples, to shards by their hashes, packed into one row for each shard, with how often they occur in training rows. A shard adds
-up the counts, builds its level and answers each batch from it; a batch takes the answers back and adds up its texts' scores. So
-all counts cover all training rows, whatever their number, no n-gram is dropped, n-grams of a frequent context are dealt over
-all shards, and neither the driver nor an executor ever holds the model: a task holds a shard or a few batches.
+Texts are tokenised once, in batches of consecutive rows; batches are worked on one at a time, and some make a bundle. A bundle
+sends its distinct words, and later the distinct pairs and triples of its batches, to shards by their hashes, packed into one row
+for each shard, with how often they occur in training rows. A shard adds up the counts, builds its level and answers each bundle
+from it; a bundle takes the answers back and adds up its texts' scores. So all counts cover all training rows, whatever their
+number, no n-gram is dropped, n-grams of a frequent context are dealt over all shards, and neither the driver nor an executor
+ever holds the model: a task holds a shard or a few bundles. Bundles times shards, the number of rows, grows with the square of
+the input; bundles are there to keep that small.
 
 Words: a word is a 63-bit hash, which two of n words share with a chance of n^2 / 2^64 (for 10 million distinct words 5 in a
 million). Its id interleaves the ranks by count within shards, so that frequent words have small ids.
@@ -19,7 +21,7 @@ and triples from their codes, and p1(v) = (c(v) + 0.1) / (N + 0.1 (V + 1)) from
 
 Edge cases: null text counts as empty, and an empty text has one token, its end; a null doc_id counts as held out; without
 training rows every token is unknown and N and V are 0; repeated rows each count and score alike; a text beyond BATCH bytes is
-a batch of its own, and no text is cut; an empty table gives an empty result; further columns are ignored.
+a batch of its own, beyond BUNDLE a bundle too, and no text is cut; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ FOLDS = 10
 ADDED = 0.1
 #: Weights of the shorter context's probability, in tokens; of a few tried, these gave held-out rows of a small table the highest probability.
 MU2, MU3 = 300.0, 3.0
-#: Bytes of text in a batch, and in the share of a shard, about.
-BATCH, SHARD = 4_000_000, 8_000_000
+#: Bytes of text in a batch, in a bundle, and in the share of a shard, about.
+BATCH, BUNDLE, SHARD = 4_000_000, 16_000_000, 8_000_000
 
 _END = b"\n"  # no word: words hold no white space
 #: Ids before those of words: what stands before a text, and words that training rows lack.
@@ -79,24 +81,33 @@ def pack(**parts: np.ndarray) -> bytes:
     """Arrays of integers as byte planes of the least width, compressed."""
     head, body = [], []
     for name, x in parts.items():
-        if x.dtype != np.uint8:
-            top = int(x.max()) if len(x) else 0
-            signed = len(x) and int(x.min()) < 0
-            x = x.astype("<i8" if signed else next(t for t in ("<u1", "<u2", "<u4", "<u8") if top < 256 ** int(t[2])))
+        x = _least(x)
         head.append((name, x.dtype.str, len(x)))
         body.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes())
     top = json.dumps(head).encode()
     return zstandard.compress(len(top).to_bytes(4, "little") + top + b"".join(body), 1)
 
 
-def unpack(data: bytes) -> dict[str, np.ndarray]:
+def _least(x: np.ndarray) -> np.ndarray:
+    """Integers in the least width that holds them."""
+    if x.dtype == np.uint8:
+        return x
+    top = int(x.max()) if len(x) else 0
+    signed = len(x) and int(x.min()) < 0
+    return x.astype("<i8" if signed else next(t for t in ("<u1", "<u2", "<u4", "<u8") if top < 256 ** int(t[2])))
+
+
+def unpack(data: bytes, narrow: tuple[str, ...] = ()) -> dict[str, np.ndarray]:
+    """The arrays, as 64-bit integers but for those named narrow, which keep the width they have."""
     whole = zstandard.decompress(data)
     n = int.from_bytes(whole[:4], "little")
     out, at = {}, 4 + n
     for name, kind, k in json.loads(whole[4:at]):
         size = np.dtype(kind).itemsize
         planes = np.frombuffer(whole, np.uint8, k * size, at).reshape(size, k)
-        out[name] = np.ascontiguousarray(planes.T).view(kind).reshape(k).astype(np.int64)
+        out[name] = np.ascontiguousarray(planes.T).view(kind).reshape(k)
+        if name not in narrow:
+            out[name] = out[name].astype(np.int64)
         at += k * size
     return out
 
@@ -316,13 +327,13 @@ def counts_of(total: int) -> np.ndarray:
     return out
 
 
-# --- batches and shards ---
+# --- bundles and shards ---
 
-_ROW = "batch bigint, shard bigint, data binary"
+_ROW = "bundle bigint, shard bigint, data binary"
 
 
-def _row(batch: list, shard: list, data: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(batch, pa.int64()), pa.array(shard, pa.int64()), pa.array(data, pa.binary())], names=["batch", "shard", "data"])
+def _row(bundle: list, shard: list, data: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bundle, pa.int64()), pa.array(shard, pa.int64()), pa.array(data, pa.binary())], names=["bundle", "shard", "data"])
 
 
 def _mixed(*ids: np.ndarray) -> np.ndarray:
@@ -336,50 +347,74 @@ def _mixed(*ids: np.ndarray) -> np.ndarray:
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[tuple]]]:
     """Runs of rows with the same key, as (key, rows of (the other key, data))."""
-    other = "batch" if key == "shard" else "shard"
+    other = "bundle" if key == "shard" else "shard"
     now, rows = None, []
     for b in batches:
-        for k, o, d in zip(b.column(key).to_pylist(), b.column(other).to_pylist(), b.column("data").to_pylist(), strict=True):
+        # a run's data at a time, for a batch of rows may hold many
+        for k, o, d in zip(b.column(key).to_pylist(), b.column(other).to_pylist(), b.column("data"), strict=True):
             if k != now and rows:
                 yield now, rows
                 rows = []
             now = k
-            rows.append((o, d))
+            rows.append((o, d.as_py()))
     if rows:
         yield now, rows
 
 
+def _read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """A batch of texts: its distinct words' hashes in order and their training counts, its tokens as places among them, and its rows."""
+    words, place, lengths = listed(batch.column("text"))
+    train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+    hashes = (np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)) >> np.uint64(1)).astype(np.int64)
+    # words by hash: equal hashes are one word
+    distinct, at = np.unique(hashes, return_inverse=True)
+    place = at[place]
+    counts = np.bincount(place[np.repeat(train, lengths)], minlength=len(distinct))
+    ids = batch.column("id")
+    known = np.array(ids.is_valid().to_numpy(zero_copy_only=False)).astype(np.uint8)
+    rows = {"lengths": lengths, "train": train.astype(np.uint8), "valid": known, "ids": ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")}
+    return {"hashes": distinct, "counts": counts, "place": _least(place)} | rows
+
+
+def _bundled(batches: list[dict], number: int, shards: int) -> pa.RecordBatch:
+    """The rows of a bundle: one of shard -1, and its words for shards."""
+    distinct, at = np.unique(np.concatenate([b["hashes"] for b in batches]), return_inverse=True)
+    counts = np.bincount(at, np.concatenate([b["counts"] for b in batches]), len(distinct)).astype(np.int64)
+    at = np.split(at, np.cumsum([len(b["hashes"]) for b in batches])[:-1])
+    whole = {k: np.concatenate([b[k] for b in batches]) for k in ("lengths", "train", "valid", "ids")}
+    place = np.concatenate([_least(a)[b["place"]] for a, b in zip(at, batches, strict=True)])
+    out = [pack(place=place, texts=np.array([len(b["lengths"]) for b in batches]), **whole)]
+    to = [-1]
+    shard = ((distinct >> 32) * shards) >> 31
+    edges = np.searchsorted(shard, np.arange(shards + 1))
+    for s in np.unique(shard).tolist():
+        part = slice(edges[s], edges[s + 1])
+        out.append(pack(steps=np.diff(distinct[part], prepend=0), counts=counts[part]))
+        to.append(s)
+    first = np.arange(len(to)) == 0
+    rows = _row([number] * len(to), to, out)
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.where(first, counts.sum(), 0)), pa.array(np.where(first, int(whole["train"].sum()), 0))], names=[*rows.schema.names, "tokens", "rows"])
+
+
 def _tokenised(docs: DataFrame, shards: int) -> DataFrame:
-    """Batches: a row of shard -1 with the texts as places in the batch's list of words, and rows of words for shards.
+    """Bundles: a row of shard -1 with the texts as places in the bundle's list of words, and rows of words for shards.
 
-    docs: id, train, text. Columns known and rows give the training tokens and rows of a batch.
+    docs: id, train, text. Columns tokens and rows give the training tokens and rows of a bundle.
     """
 
     def run(batches):
         number = (TaskContext.get().partitionId()) << 32
+        held, size = [], 0
         for batch in batches:
-            for a, b in bounds(batch.column("text"), BATCH):
-                words, place, lengths = listed(batch.column("text").slice(a, b - a))
-                train = batch.column("train").slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
-                hashes = (np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)) >> np.uint64(1)).astype(np.int64)
-                # words by hash: equal hashes are one word
-                distinct, at = np.unique(hashes, return_inverse=True)
-                place = at[place]
-                counts = np.bincount(place[np.repeat(train, lengths)], minlength=len(distinct))
-                ids = batch.column("id").slice(a, b - a)
-                known = np.array(ids.is_valid().to_numpy(zero_copy_only=False)).astype(np.uint8)
-                out = [pack(place=place, lengths=lengths, train=train.astype(np.uint8), valid=known, ids=ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))]
-                to = [-1]
-                shard = ((distinct >> 32) * shards) >> 31
-                edges = np.searchsorted(shard, np.arange(shards + 1))
-                for s in np.unique(shard).tolist():
-                    part = slice(edges[s], edges[s + 1])
-                    out.append(pack(steps=np.diff(distinct[part], prepend=0), counts=counts[part]))
-                    to.append(s)
-                first = np.arange(len(to)) == 0
-                rows = _row([number] * len(to), to, out)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.where(first, counts.sum(), 0)), pa.array(np.where(first, train.sum(), 0))], names=["batch", "shard", "data", "tokens", "rows"])
-                number += 1
+            for a, b in bounds(batch.column("text"), min(BATCH, BUNDLE)):
+                part = batch.slice(a, b - a)
+                held.append(_read(part))
+                size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+                if size >= BUNDLE:
+                    yield _bundled(held, number, shards)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield _bundled(held, number, shards)
         release()
 
     return docs.mapInArrow(run, _ROW + ", tokens bigint, rows bigint")
@@ -401,7 +436,7 @@ def _word_shards(messages: DataFrame, shards: int) -> DataFrame:
             answers = [pack(ids=ids[i], counts=total[i]) for i in np.split(at, ends)]
             out = _row([o for o, _ in rows], [shard] * len(rows), answers)
             words = [int((total > 0).sum())] + [0] * (len(rows) - 1)
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(words, pa.int64())], names=["batch", "shard", "data", "words"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(words, pa.int64())], names=[*out.schema.names, "words"])
         release()
 
     return _dealt(messages, shards).mapInArrow(run, _ROW + ", words bigint")
@@ -409,42 +444,40 @@ def _word_shards(messages: DataFrame, shards: int) -> DataFrame:
 
 def _dealt(messages: DataFrame, shards: int) -> DataFrame:
     """A partition for each shard."""
-    rows = messages.select("batch", "shard", "data")
-    return rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "batch")
+    rows = messages.select("bundle", "shard", "data")
+    return rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "bundle")
 
 
-def _by_batch(rows: DataFrame, answers: DataFrame, partitions: int) -> DataFrame:
-    """Batches, each in its own row (shard -1) and then the answers to it by shard."""
-    both = rows.select("batch", "shard", "data").unionByName(answers.select("batch", "shard", "data"))
-    return both.repartition(partitions, "batch").sortWithinPartitions("batch", "shard")
+def _by_bundle(rows: DataFrame, answers: DataFrame, partitions: int) -> DataFrame:
+    """Bundles, each in its own row (shard -1) and then the answers to it by shard."""
+    both = rows.select("bundle", "shard", "data").unionByName(answers.select("bundle", "shard", "data"))
+    return both.repartition(partitions, "bundle").sortWithinPartitions("bundle", "shard")
 
 
 def _with_ids(rows: DataFrame) -> DataFrame:
-    """Batches whose words have ids and counts, in the order of ids."""
+    """Bundles whose words have ids and counts, in the order of ids."""
 
     def run(batches):
-        for batch, ((_, data), *answers) in _groups(batches, "batch"):
-            x = unpack(data)
+        for bundle, ((_, data), *answers) in _groups(batches, "bundle"):
+            x = unpack(data, ("place",))
             got = [unpack(d) for _, d in answers]
             ids, counts = (np.concatenate([g[k] for g in got]) for k in ("ids", "counts"))
+            del got, answers
             distinct, first, at = np.unique(ids, return_index=True, return_inverse=True)
-            yield _row([batch], [-1], [pack(**x | {"place": at[x["place"]], "steps": np.diff(distinct, prepend=0), "counts": counts[first]})])
+            yield _row([bundle], [-1], [pack(**x | {"place": _least(at)[x["place"]], "steps": np.diff(distinct, prepend=0), "counts": counts[first]})])
         release()
 
     return rows.mapInArrow(run, _ROW)
 
 
 class _Grams:
-    """The distinct pairs and triples of a batch, as ids and by shard."""
-
-    def __init__(self, data: bytes, shards: int):
-        x = unpack(data)
-        self.ids, self.counts = x["steps"].cumsum(), x["counts"]
-        self.doc, self.valid, self.lengths, v = x["ids"], x["valid"].astype(bool), x["lengths"], x["place"]
-        self.starts = np.concatenate([[0], self.lengths.cumsum()[:-1]]).astype(np.int64)
-        v = v + 1  # place 0 stands for the text's begin, so that places are in the order of ids
-        n = len(self.ids) + 1
-        train = np.repeat(x["train"].astype(bool), self.lengths)
+    """The distinct pairs and triples of a batch, as ids and by shard. names: ids of words, behind what stands before a text."""
+
+    def __init__(self, names: np.ndarray, v: np.ndarray, lengths: np.ndarray, train: np.ndarray, shards: int):
+        self.starts = np.concatenate([[0], lengths.cumsum()[:-1]]).astype(np.int64)
+        v = v.astype(np.int64) + 1  # place 0 stands for the text's begin, so that places are in the order of ids
+        n = len(names)
+        train = np.repeat(train.astype(bool), lengths)
         u = np.empty_like(v)
         u[1:] = v[:-1]
         u[self.starts] = 0
@@ -454,7 +487,6 @@ class _Grams:
         before[1:] = self.at2[:-1] + 1
         before[self.starts] = 0  # the context of a first token
         triples, self.at3 = np.unique(before * n + v, return_inverse=True)
-        names = np.append(_BEGIN, self.ids)
         first, second = np.divmod(pairs, n)
         self.two = [names[first], names[second]]
         context, last = np.divmod(triples, n)
@@ -467,23 +499,49 @@ class _Grams:
             self.sides.append((order, counts[order], np.searchsorted(shard[order], np.arange(shards + 1))))
 
 
-def _messages(batches: DataFrame, shards: int) -> DataFrame:
+def _batches(x: dict[str, np.ndarray], shards: int) -> Iterator[tuple[_Grams, np.ndarray, np.ndarray]]:
+    """The batches of a bundle, one at a time: n-grams, ids of rows and whether they are known."""
+    names = np.append(_BEGIN, x["steps"].cumsum())
+    row = token = 0
+    for n in x["texts"].tolist():
+        part = slice(row, row + n)
+        lengths = x["lengths"][part]
+        end = token + int(lengths.sum())
+        yield _Grams(names, x["place"][token:end], lengths, x["train"][part], shards), x["ids"][part], x["valid"][part].astype(bool)
+        row, token = row + n, end
+
+
+def _sent(g: _Grams) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+    """A batch's columns of pairs, and of triples, shard by shard; and where shards begin."""
+    (o2, n2, e2), (o3, n3, e3) = g.sides
+    two, three = _steps(*(x[o2] for x in g.two), starts=e2), _steps(*(x[o3] for x in g.three), starts=e3)
+    return [_least(x) for x in (*two, n2)], [_least(x) for x in (*three, n3)], e2, e3
+
+
+def _messages(bundles: DataFrame, shards: int) -> DataFrame:
     def run(rows):
         for b in rows:
-            for batch, data in zip(b.column("batch").to_pylist(), b.column("data").to_pylist(), strict=True):
-                g = _Grams(data, shards)
-                (o2, n2, e2), (o3, n3, e3) = g.sides
-                (a, b_), (ta, tb, tc) = _steps(*(x[o2] for x in g.two), starts=e2), _steps(*(x[o3] for x in g.three), starts=e3)
-                to, out = [], []
-                for s in range(shards):
-                    p, q = slice(e2[s], e2[s + 1]), slice(e3[s], e3[s + 1])
-                    if p.stop > p.start or q.stop > q.start:
-                        out.append(pack(a=a[p], b=b_[p], n=n2[p], ta=ta[q], tb=tb[q], tc=tc[q], tn=n3[q]))
-                        to.append(s)
-                yield _row([batch] * len(to), to, out)
+            for bundle, data in zip(b.column("bundle").to_pylist(), b.column("data"), strict=True):
+                sent = []
+                for g, _, _ in _batches(unpack(data.as_py(), ("place",)), shards):
+                    sent.append(_sent(g))
+                    del g  # before the next is made
+                runs2, runs3 = (np.array([np.diff(x[k]) for x in sent]) for k in (2, 3))
+                to, out, size = [], [], 0
+                for s in np.flatnonzero((runs2 + runs3).any(axis=0)).tolist():
+                    two = [[x[e2[s] : e2[s + 1]] for x in columns] for columns, _, e2, _ in sent]
+                    three = [[x[e3[s] : e3[s + 1]] for x in columns] for _, columns, _, e3 in sent]
+                    columns = (np.concatenate(x) for x in (*zip(*two, strict=True), *zip(*three, strict=True)))
+                    out.append(pack(**dict(zip(("a", "b", "n", "ta", "tb", "tc", "tn"), columns, strict=True)), runs2=runs2[:, s], runs3=runs3[:, s]))
+                    to.append(s)
+                    size += len(out[-1])
+                    if size >= BATCH:
+                        yield _row([bundle] * len(to), to, out)
+                        to, out, size = [], [], 0
+                yield _row([bundle] * len(to), to, out)
         release()
 
-    return batches.mapInArrow(run, _ROW)
+    return bundles.mapInArrow(run, _ROW)
 
 
 def _answers(messages: list[bytes], total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -494,9 +552,11 @@ def _answers(messages: list[bytes], total: int) -> Iterator[tuple[np.ndarray, np
     parts = [unpack(d) for d in messages]
     a, b, n, ta, tb, tc, tn = (np.concatenate([p[k] for p in parts]) for k in ("a", "b", "n", "ta", "tb", "tc", "tn"))
     ends2, ends3 = (np.cumsum([len(p[k]) for p in parts]) for k in ("n", "tn"))
+    # a message without runs is one
+    starts2, starts3 = (np.append(0, np.concatenate([p.get(k, [len(p[c])]) for p in parts]).cumsum()) for k, c in (("runs2", "n"), ("runs3", "tn")))
     del parts
-    pairs, n2, at2 = _distinct(_unsteps(a, b, starts=np.append(0, ends2)), n)
-    triples, n3, at3 = _distinct(_unsteps(ta, tb, tc, starts=np.append(0, ends3)), tn)
+    pairs, n2, at2 = _distinct(_unsteps(a, b, starts=starts2), n)
+    triples, n3, at3 = _distinct(_unsteps(ta, tb, tc, starts=starts3), tn)
     del a, b, n, ta, tb, tc, tn
     trie = Trie(Trie.build([x[n2 > 0] for x in pairs], codes(n2[n2 > 0], total), [x[n3 > 0] for x in triples], codes(n3[n3 > 0], total)))
     two, three = trie.pairs(*pairs)[at2], trie.triples(*triples)[at3]
@@ -508,8 +568,7 @@ def _trie_shards(messages: DataFrame, shards: int, total: int) -> DataFrame:
 
     def run(batches):
         for shard, rows in _groups(batches, "shard"):
-            for (batch, _), (two, three) in zip(rows, _answers([d for _, d in rows], total), strict=True):
-                yield _row([batch], [shard], [pack(two=two, three=three)])
+            yield _row([o for o, _ in rows], [shard] * len(rows), [pack(two=x, three=y) for x, y in _answers([d for _, d in rows], total)])
         release()
 
     return _dealt(messages, shards).mapInArrow(run, _ROW)
@@ -520,22 +579,27 @@ def _scores(rows: DataFrame, shards: int, stats: dict) -> DataFrame:
 
     def run(batches):
         value = counts_of(total)
-        for _, ((_, data), *answers) in _groups(batches, "batch"):
-            g = _Grams(data, shards)
-            got = [unpack(d) for _, d in answers]
-            c2, c3 = (np.empty(len(order)) for order, _, _ in g.sides)
-            for c, k, (order, _, _) in zip((c2, c3), ("two", "three"), g.sides, strict=True):
-                c[order] = value[np.concatenate([x[k] for x in got])]
-            alone = np.append(begins, g.counts).astype(float)
-            base = np.log10((alone + ADDED) / (total + ADDED * (words + 1)))[g.v]
-            context = alone[g.u]
-            pair = c2[g.at2]
-            p2 = (np.minimum(pair, context) + MU2 * 10**base) / (context + MU2)
-            context = np.concatenate([[0.0], pair[:-1]])
-            context[g.starts] = begins
-            p3 = np.log10((np.minimum(c3[g.at3], context) + MU3 * p2) / (context + MU3))
-            sums = [np.add.reduceat(x, g.starts) for x in (np.ones(len(g.v), np.int64), (alone > 0)[g.v].astype(np.int64), base, p3)]
-            yield pa.RecordBatch.from_arrays([pa.array(g.doc, mask=~g.valid), *map(pa.array, sums)], names=["id", "n_tokens", "n_known", "base_score", "score"])
+        for _, ((_, data), *answers) in _groups(batches, "bundle"):
+            bundle = unpack(data, ("place",))
+            alone = np.append(begins, bundle["counts"]).astype(float)
+            single = np.log10((alone + ADDED) / (total + ADDED * (words + 1)))
+            got = [(s, unpack(d, ("two", "three"))) for s, d in answers]
+            done = {k: np.zeros(shards, dtype=np.int64) for k in ("two", "three")}  # of each shard's answer, by the batches before
+            for g, ids, valid in _batches(bundle, shards):
+                c2, c3 = (np.empty(len(order)) for order, _, _ in g.sides)
+                for c, k, (order, _, edges) in zip((c2, c3), ("two", "three"), g.sides, strict=True):
+                    start, done[k] = done[k], done[k] + np.diff(edges)
+                    c[order] = value[np.concatenate([x[k][start[s] : done[k][s]] for s, x in got])]
+                base = single[g.v]
+                context = alone[g.u]
+                pair = c2[g.at2]
+                p2 = (np.minimum(pair, context) + MU2 * 10**base) / (context + MU2)
+                context = np.concatenate([[0.0], pair[:-1]])
+                context[g.starts] = begins
+                p3 = np.log10((np.minimum(c3[g.at3], context) + MU3 * p2) / (context + MU3))
+                sums = [np.add.reduceat(x, g.starts) for x in (np.ones(len(g.v), np.int64), (alone > 0)[g.v].astype(np.int64), base, p3)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~valid), *map(pa.array, sums)], names=["id", "n_tokens", "n_known", "base_score", "score"])
+                del g  # before the next is made
         release()
 
     return rows.mapInArrow(run, "id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
@@ -553,10 +617,10 @@ def learn_and_score(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     stats = first.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first().asDict()
     answers = materialize(_word_shards(first.where("shard >= 0"), shards))
     stats["words"] = answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    batches = materialize(_with_ids(_by_batch(first.where("shard < 0"), answers, shards)))
+    bundles = materialize(_with_ids(_by_bundle(first.where("shard < 0"), answers, shards)))
     discard(first, answers)
-    grams = _trie_shards(_messages(batches, shards), shards, stats["tokens"])
-    return _scores(_by_batch(batches, grams, shards), shards, stats).withColumnRenamed("id", key), stats
+    grams = _trie_shards(_messages(bundles, shards), shards, stats["tokens"])
+    return _scores(_by_bundle(bundles, grams, shards), shards, stats).withColumnRenamed("id", key), stats
 
 
 def op9_ngram_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,3 +136,29 @@ def test_each_gram_is_searched_once_and_in_order(monkeypatch, top):
     # however many messages ask for it, an n-gram is looked up once, in the order of the trie
     for k, calls in zip((2, 3), asked.values(), strict=True):
         assert calls == [sorted(x for x in counts if len(x) == k)]
+
+
+@pytest.mark.parametrize(("bundle", "most"), [(1_000_000, 3), (1_000, 200)])
+def test_bundles_of_batches(spark, docs_dir, monkeypatch, bundle, most):
+    rows = [r for r in _rows() if len(r[1] or "") < 1_000]
+    want = lm.brute([r[:2] for r in rows])
+    for name, value in (("BATCH", 500), ("BUNDLE", bundle), ("SHARD", 10_000)):
+        monkeypatch.setattr(lm, name, value)
+    folder = docs_dir(rows, DOCS)
+    # a few short rows fill an Arrow batch, and a bundle takes many of those
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        docs = spark.read.parquet(folder + "/documents.parquet").selectExpr("doc_id as id", "doc_id % 2 = 0 as train", "text").coalesce(3)
+        sent = lm._tokenised(docs, 4).select("bundle", "shard").collect()
+        got = {r.doc_id: r for r in lm.op9_ngram_trie_scores(spark, folder).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    # rows for shards are as many as bundles times shards at most, however many batches there are
+    assert len({r.bundle for r in sent}) <= most and len(sent) <= 5 * len({r.bundle for r in sent})
+    assert len(got) == len(rows)
+    for d, (held, n, known, total, base, full) in want.items():
+        r = got[d]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
+        assert r.base_score == pytest.approx(base, abs=1e-6, rel=1e-9)
+        assert abs(r.score - full) <= n * np.log10(total) / 254 + 1e-6
