@@ -448,10 +448,20 @@ def _dealt(messages: DataFrame, shards: int) -> DataFrame:
     return rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "bundle")
 
 
-def _by_bundle(rows: DataFrame, answers: DataFrame, partitions: int) -> DataFrame:
+def _spread(bundle: Column, most: int, partitions: int) -> Column:
+    """A partition for each bundle; most: bundles of a task that numbered them.
+
+    Numbers without large gaps times the golden ratio, modulo one, lie evenly, so that few partitions get two bundles where there are more partitions.
+    """
+    number = F.shiftright(bundle, 32) * F.lit(max(1, most)) + bundle.bitwiseAND(F.lit(0xFFFFFFFF))
+    mixed = (number.bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(2654435769)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftright(mixed * F.lit(partitions), 32).cast("int")
+
+
+def _by_bundle(rows: DataFrame, answers: DataFrame, most: int, partitions: int) -> DataFrame:
     """Bundles, each in its own row (shard -1) and then the answers to it by shard."""
     both = rows.select("bundle", "shard", "data").unionByName(answers.select("bundle", "shard", "data"))
-    return both.repartition(partitions, "bundle").sortWithinPartitions("bundle", "shard")
+    return both.repartitionById(partitions, _spread(F.col("bundle"), most, partitions)).sortWithinPartitions("bundle", "shard")
 
 
 def _with_ids(rows: DataFrame) -> DataFrame:
@@ -614,13 +624,15 @@ def learn_and_score(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, math.ceil(size / SHARD))
     first = materialize(_tokenised(rows, shards))
-    stats = first.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first().asDict()
+    most = F.max(F.col("bundle").bitwiseAND(F.lit(0xFFFFFFFF))) + 1
+    stats = first.agg(*(F.coalesce(x, F.lit(0)).alias(k) for k, x in (("tokens", F.sum("tokens")), ("rows", F.sum("rows")), ("most", most)))).first().asDict()
+    most = stats.pop("most")
     answers = materialize(_word_shards(first.where("shard >= 0"), shards))
     stats["words"] = answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    bundles = materialize(_with_ids(_by_bundle(first.where("shard < 0"), answers, shards)))
+    bundles = materialize(_with_ids(_by_bundle(first.where("shard < 0"), answers, most, shards)))
     discard(first, answers)
     grams = _trie_shards(_messages(bundles, shards), shards, stats["tokens"])
-    return _scores(_by_bundle(bundles, grams, shards), shards, stats).withColumnRenamed("id", key), stats
+    return _scores(_by_bundle(bundles, grams, most, shards), shards, stats).withColumnRenamed("id", key), stats
 
 
 def op9_ngram_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

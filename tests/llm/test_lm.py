@@ -162,3 +162,11 @@ def test_bundles_of_batches(spark, docs_dir, monkeypatch, bundle, most):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
         assert r.base_score == pytest.approx(base, abs=1e-6, rel=1e-9)
         assert abs(r.score - full) <= n * np.log10(total) / 254 + 1e-6
+
+
+@pytest.mark.parametrize(("tasks", "most", "partitions"), [(32, 3, 108), (1, 80, 108), (1500, 2, 6300), (200_000, 1, 400_000)])
+def test_bundles_are_spread_evenly(spark, tasks, most, partitions):
+    bundles = spark.range(tasks * most).selectExpr(f"shiftleft(id div {most}, 32) + id % {most} as bundle")
+    got = bundles.groupBy(lm._spread(F.col("bundle"), most, partitions).alias("p")).count().agg(F.max("count"), F.min("p"), F.max("p")).first()
+    # a hash of as many bundles puts 3 and more into a partition
+    assert got[0] <= 2 and 0 <= got[1] <= got[2] < partitions
